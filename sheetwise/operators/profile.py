@@ -84,5 +84,4 @@ def first_rows(df: DataFrame, n: int = 5) -> DataFrame:
     else any n rows. `sources.readers.read_head` answers the same without a full scan."""
     if ROW_ID not in df.columns:
         return df.limit(n)
-    early = df.filter(F.col(ROW_ID)["row"] < n)
-    return early.orderBy(ROW_ID).limit(n).drop(ROW_ID)
+    return df.orderBy(ROW_ID).limit(n).drop(ROW_ID)

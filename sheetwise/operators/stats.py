@@ -67,7 +67,8 @@ def numeric_stats(
     approx: bool = False,
     bool_as_numeric: bool = False,
 ) -> DataFrame:
-    """One row per numeric column: count, min, max, mean, median, std, q1, q3, sum.
+    """One row per numeric column: position, column, count, min, max, mean, median, std, q1,
+    q3, sum.
 
     Exact by default (see `quantiles`); ``approx=True`` takes `percentile_approx` quartiles
     in a single pass.
@@ -76,8 +77,8 @@ def numeric_stats(
     if not columns:
         return _empty(
             df,
-            "column string, count bigint, min double, max double, mean double, median double, "
-            "std double, q1 double, q3 double, sum double",
+            "position int, column string, count bigint, min double, max double, mean double, "
+            "median double, std double, q1 double, q3 double, sum double",
         )
     fields = fields_of(df, columns)
     cells = F.array(
@@ -98,10 +99,8 @@ def numeric_stats(
     listed = F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("c")
     every = df.sparkSession.range(1).select(listed)
     return (
-        every.join(F.broadcast(found), "c", "left")
-        .orderBy("c")
-        .select(
-            name_of(F.col("c"), columns).alias("column"),
+        every.join(F.broadcast(found), "c", "left").select(
+            F.col("c").alias("position"), name_of(F.col("c"), columns).alias("column"),
             F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
             "min", "max", F.round("mean", 2).alias("mean"), F.col("q1").alias("median"),
             F.round("std", 2).alias("std"), F.col("q0").alias("q1"), F.col("q2").alias("q3"),
@@ -114,8 +113,9 @@ def context_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     """Mean, median, min, max and std at two decimals; booleans count as 0 and 1."""
     stats = numeric_stats(df, approx=approx, bool_as_numeric=True)
     return stats.select(
-        "column", *[F.round(n, 2).alias(n) for n in ("mean", "median", "min", "max", "std")]
-    )
+        "position", "column",
+        *[F.round(n, 2).alias(n) for n in ("mean", "median", "min", "max", "std")],
+    )
 
 
 def datetime_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
