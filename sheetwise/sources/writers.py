@@ -29,7 +29,8 @@ def write_csv(df: DataFrame, path: str) -> str:
         for f in df.schema.fields
         if f.name != ROW_ID
     ]
-    df.select(*values).write.csv(path, header=True, escape='"')
+    options = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.select(*values).write.csv(path, header=True, escape='"', **options)
     return path
 
 
