@@ -49,7 +49,7 @@ def scatter_chart(spark, sf_dir):
 @query(histogram_sql("", "part", "p_retailprice"))
 def histogram_chart(spark, sf_dir):
     data = chart(table(spark, sf_dir, "part"), {"type": "histogram", "column": "p_retailprice"})
-    edges = {n: F.round(n, 4) + F.lit(0.0) for n in ("lo", "hi")}
+    edges = {n: F.round(n, 6) + F.lit(0.0) for n in ("lo", "hi")}
     return data.withColumns(edges).select(F.col("number").alias("bin"), "lo", "hi", "count")
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from sheetwise.catalog.registry import orders_with_gaps, query, table
 from sheetwise.plans import analysis
-from sheetwise.sources.readers import read_table
+from sheetwise.sources.readers import read_head, read_table
 
 
 @query()
 def context_json(spark, sf_dir):
-    return analysis.context_json(read_table(spark, f"{sf_dir}/orders.parquet", row_id=True))
+    path = f"{sf_dir}/orders.parquet"
+    return analysis.context_json(read_table(spark, path), read_head(spark, path, 20))
 
 
 @query("""

@@ -158,7 +158,7 @@ edges AS (
               ELSE lo + (i - 1) * ((hi - lo) / {bins}) END AS lo,
          CASE WHEN i = {bins} THEN hi ELSE lo + i * ((hi - lo) / {bins}) END AS hi
   FROM span, range(1, {bins + 1}) AS t(i))
-SELECT bin, round(lo, 4) + 0.0 AS lo, round(hi, 4) + 0.0 AS hi,
+SELECT bin, round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi,
        count(v) AS count
 FROM edges LEFT JOIN vals ON v > lo AND v <= hi GROUP BY bin, lo, hi
 """
@@ -166,7 +166,7 @@ FROM edges LEFT JOIN vals ON v > lo AND v <= hi GROUP BY bin, lo, hi
 
 def _histogram(df, column, bins=10):
     found = histogram(df, column, bins).drop("label")
-    return found.withColumns({n: F.round(n, 4) + F.lit(0.0) for n in ("lo", "hi")})
+    return found.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in ("lo", "hi")})
 
 
 @query(histogram_sql("", "lineitem", "l_extendedprice"))

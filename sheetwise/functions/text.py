@@ -18,6 +18,9 @@ FALSE_TOKENS = ["False", "FALSE", "false"]
 INTEGER_SHAPE = r"^\s*[+-]?\d+\s*$"
 DOUBLE_SHAPE = r"(?i)^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity)\s*$"
 
+#: Text without this beginning has none of the date shapes below.
+DATE_LIKE = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"
+
 # Candidate date formats in order of preference: (name, shape, rewrite to year-month-day).
 _TIME = r"\d{2}:\d{2}:\d{2}(\.\d{1,6})?"
 DATE_FORMATS = [
@@ -58,12 +61,30 @@ def to_boolean(value: Column) -> Column:
     return F.when(value.isin(TRUE_TOKENS), F.lit(True)).when(value.isin(FALSE_TOKENS), F.lit(False))
 
 
-def to_timestamp(value: Column, date_format: str) -> Column:
-    """Parse by one of DATE_FORMATS; NULL where the text does not fit.
+def date_shape(value: Column) -> Column:
+    """Position of the first date format whose shape the text has, else NULL."""
+    found = None
+    for i, (_, shape, _) in enumerate(DATE_FORMATS):
+        if i == shape_position(i):
+            fits = value.rlike(shape)
+            found = F.when(fits, i) if found is None else found.when(fits, i)
+    return F.when(value.rlike(DATE_LIKE), found)
+
+
+def shape_position(i: int) -> int:
+    """Position of the first format with the shape of format i."""
+    return [shape for _, shape, _ in DATE_FORMATS].index(DATE_FORMATS[i][1])
 
-    The shape is tested first and the text rewritten to year-month-day, so the parse is a
-    cast without a formatter: no exception is thrown per bad value.
-    """
-    shape, rewrite = next((s, r) for name, s, r in DATE_FORMATS if name == date_format)
+
+def parse_shaped(value: Column, i: int) -> Column:
+    """Parse text that has the shape of date format i: rewritten to year-month-day, then a
+    cast without a formatter, so no exception is thrown per bad value."""
+    _, shape, rewrite = DATE_FORMATS[i]
     iso = value if rewrite is None else F.regexp_replace(value, shape, rewrite)
-    return F.when(value.rlike(shape), iso.try_cast("timestamp_ntz"))
+    return iso.try_cast("timestamp_ntz")
+
+
+def to_timestamp(value: Column, date_format: str) -> Column:
+    """Parse by one of DATE_FORMATS; NULL where the text does not fit."""
+    i = [name for name, _, _ in DATE_FORMATS].index(date_format)
+    return F.when(value.rlike(DATE_FORMATS[i][1]), parse_shaped(value, i))

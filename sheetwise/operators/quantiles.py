@@ -10,6 +10,8 @@ narrow ones, so neither the running count nor the last step grows with the rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,17 +43,23 @@ def narrow_bucket(value: Column, lo: Column, hi: Column) -> Column:
 
 
 def grouped_quantiles(
-    values: DataFrame, keys: list[str], probabilities: list[float], few_keys: bool = False
+    values: DataFrame,
+    keys: list[str],
+    probabilities: list[float],
+    reread: Callable[[list], DataFrame] | None = None,
 ) -> DataFrame:
     """Count, total, min, max, mean, std and quantiles of column ``v`` per key.
 
     ``values`` has the keys (not missing) and a double ``v``; missing values count only
     towards the presence of the key. Quantiles interpolate between neighbours and come as
-    columns q0, q1, … Set ``few_keys`` when the number of keys is bounded by the schema: the
-    table of wanted buckets (at most two per quantile and key) is then broadcast.
+    columns q0, q1, …
+
+    Give ``reread`` when there is one key column whose number of values is bounded by the
+    schema: it returns the values of the given keys, so later passes read less, and the
+    table of wanted buckets (at most two per quantile and key) is broadcast.
     """
     shared_folder(values.sparkSession)
-    base = values.select(*keys, "v", log_bucket(F.col("v")).alias("b"))
+    base = _bucketed(values, keys)
     counted = base.groupBy(*keys, "b").agg(
         F.count("v").alias("n"),
         F.min("v").alias("lo"),
@@ -80,23 +88,33 @@ def grouped_quantiles(
         .checkpoint()
     )
 
-    wide = (F.col("lo") < F.col("hi")) & (F.col("n") > BUCKET_ROWS)
-    seen = None
-    while (left := state.filter(wide).agg(F.sum("n")).first()[0]) and left != seen:
-        # Only buckets with many distinct values gain from another split: each split
-        # narrows the range by 65,536, so a few rounds reach neighbouring doubles.
-        seen = left
-        split = _refine(base, state.filter(wide), keys, narrow_bucket, few_keys)
-        state = state.filter(~F.coalesce(wide, F.lit(False))).unionByName(split).checkpoint()
-
+    # A wanted bucket with more than one value is open. A split separates its lowest from its
+    # highest value and narrows the range by 65,536, so three splits reach single doubles.
     open_ = F.coalesce(F.col("lo") < F.col("hi"), F.lit(False))
-    read = _refine(base, state.filter(open_), keys, lambda v, lo, hi: v, few_keys)
-    found = (
-        state.filter(~open_)
-        .unionByName(read)
-        .select(*keys, *CARRIED, F.explode_outer("ranks").alias("rank"), F.col("lo").alias("v"))
+    while True:
+        if reread is not None:
+            left = state.filter(open_).groupBy(*keys).agg(F.max("n").alias("n")).collect()
+            base = _bucketed(reread(sorted(row[0] for row in left)), keys) if left else base
+        else:
+            left = state.filter(open_).agg(F.max("n").alias("n")).dropna().collect()
+        if not any(row["n"] > BUCKET_ROWS for row in left):
+            break
+        wide = open_ & (F.col("n") > BUCKET_ROWS)
+        split = _refine(base, state.filter(wide), keys, narrow_bucket, reread is not None)
+        state = state.filter(~wide).unionByName(split).checkpoint()
+
+    found = state.filter(~open_)
+    if left:
+        read = _refine(base, state.filter(open_), keys, lambda v, lo, hi: v, reread is not None)
+        found = found.unionByName(read)
+    ranked = found.select(
+        *keys, *CARRIED, F.explode_outer("ranks").alias("rank"), F.col("lo").alias("v")
     )
-    return _interpolate(found, keys, probabilities)
+    return _interpolate(ranked, keys, probabilities)
+
+
+def _bucketed(values: DataFrame, keys: list[str]) -> DataFrame:
+    return values.select(*keys, "v", log_bucket(F.col("v")).alias("b"))
 
 
 def _position(p: float) -> Column:
@@ -114,15 +132,25 @@ def _ranks_inside(ranks: Column) -> Column:
 
 
 def _refine(base: DataFrame, state: DataFrame, keys: list[str], bucket, few_keys: bool) -> DataFrame:
-    """Split the buckets in ``state`` and keep the parts that hold a wanted rank."""
+    """Split the buckets in ``state`` and keep the parts that hold a wanted rank.
+
+    With many keys the values are counted before the join, so that one value that fills a
+    group is a single row by then; whether the wanted buckets are broadcast is left to the
+    size that adaptive execution measures.
+    """
     wanted = state.drop("n")
-    joined = base.join(F.broadcast(wanted) if few_keys else wanted, [*keys, "b"])
+    if few_keys:
+        counted = base.withColumn("n", F.lit(1))
+        wanted = F.broadcast(wanted)
+    else:
+        counted = base.groupBy(*keys, "b", "v").agg(F.count("v").alias("n"))
+    joined = counted.join(wanted, [*keys, "b"])
     inside = joined.filter(F.col("v").between(F.col("lo"), F.col("hi")))
     same = [*keys, "b", *CARRIED, "below", "ranks"]
     parts = (
-        inside.select(*same, "v", bucket(F.col("v"), F.col("lo"), F.col("hi")).alias("part"))
+        inside.select(*same, "v", "n", bucket(F.col("v"), F.col("lo"), F.col("hi")).alias("part"))
         .groupBy(*same, "part")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
     # `below` is different for every bucket of a key.
     before = (

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetwise.functions.columns import as_double, chunks, col, name_of, null_if_nan, present
+from sheetwise.functions.columns import (
+    as_double, chunks, col, name_of, null_if_nan, present, row_key,
+)
 from sheetwise.operators.quantiles import grouped_quantiles
 from sheetwise.operators.schema import classify, column_class, fields_of
 
@@ -23,17 +25,18 @@ def _empty(df: DataFrame, schema: str) -> DataFrame:
 # --- categories ------------------------------------------------------------------------
 
 
+def _labels(df: DataFrame, columns: list[str], label) -> DataFrame:
+    labels = df.select(*[label(f).cast("string").alias(f.name) for f in fields_of(df, columns)])
+    return labels.unpivot([], [col(c) for c in columns], "column", "label")
+
+
 def label_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, label, count) for all categorical columns in one scan, missing included."""
     columns = classify(df)["categorical"] if columns is None else columns
     if not columns:
         return _empty(df, "column string, label string, count bigint")
-    labels = df.select(*[present(f).cast("string").alias(f.name) for f in fields_of(df, columns)])
-    return (
-        labels.unpivot([], [col(c) for c in columns], "column", "label")
-        .groupBy("column", "label")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    counted = _labels(df, columns, present).groupBy("column", "label")
+    return counted.agg(F.count(F.lit(1)).alias("count"))
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -54,8 +57,12 @@ def top_categories(df: DataFrame, n: int = 10, columns: list[str] | None = None)
 
 
 def distinct_labels(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, labels): number of different labels, missing counted as one."""
-    return label_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("labels"))
+    """(column, labels): number of different labels, missing counted as one.
+
+    Long labels are compared by digest, so the shuffle does not carry whole texts.
+    """
+    different = _labels(df, columns, row_key).distinct()
+    return different.groupBy("column").agg(F.count(F.lit(1)).alias("labels"))
 
 
 # --- numbers ---------------------------------------------------------------------------
@@ -81,11 +88,15 @@ def numeric_stats(
             "median double, std double, q1 double, q3 double, sum double",
         )
     fields = fields_of(df, columns)
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("c"), as_double(f).alias("v")) for i, f in enumerate(fields)]
-    )
-    values = df.select(F.inline(cells))
     quartiles = [0.25, 0.5, 0.75]
+
+    def cells(positions) -> DataFrame:
+        values = [
+            F.struct(F.lit(i).alias("c"), as_double(fields[i]).alias("v")) for i in positions
+        ]
+        return df.select(F.inline(F.array(*values)))
+
+    values = cells(range(len(fields)))
     if approx:
         points = F.percentile_approx("v", quartiles, 10_000)
         found = values.groupBy("c").agg(
@@ -95,7 +106,7 @@ def numeric_stats(
             *[points[i].alias(f"q{i}") for i in range(3)],
         )
     else:
-        found = grouped_quantiles(values, ["c"], quartiles, few_keys=True)
+        found = grouped_quantiles(values, ["c"], quartiles, reread=cells)
     listed = F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("c")
     every = df.sparkSession.range(1).select(listed)
     return (
@@ -172,25 +183,29 @@ def correlation(
     if len(columns) < 2:
         return _empty(df, "col_a string, col_b string, corr double")
     fields = fields_of(df, columns)
-    table = df.select(*[as_double(f).alias(f"x{i}") for i, f in enumerate(fields)])
+    values = [as_double(f) for f in fields]
+    table = df.select(*[v.alias(f"x{i}") for i, v in enumerate(values)])
     centre = _centres(table, len(columns))
+    centred = df.select(*[(v - F.lit(c["mean"])).alias(f"x{c['i']}") for v, c in zip(values, centre, strict=True)])
     tiles = [
-        table.agg(F.array(*[_pair(i, j, centre) for i, j in tile]).alias("pairs"))
+        centred.agg(F.expr(f"array({', '.join(_pair(i, j, centre) for i, j in tile)})").alias("pairs"))
         for tile in _tiles(centre)
     ]
     pairs = tiles[0]
     for tile in tiles[1:]:
         pairs = pairs.unionByName(tile)
-    both = F.array(
-        F.struct(F.col("i").alias("a"), F.col("j").alias("b")),
-        F.struct(F.col("j").alias("a"), F.col("i").alias("b")),
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ratio")))
+    corr = F.when(F.col("i") == F.col("j"), F.lit(1.0)).when(~F.isnan("ratio"), bounded)
+    mirrored = F.expr(
+        "CASE WHEN i = j THEN array(named_struct('a', i, 'b', j)) "
+        "ELSE array(named_struct('a', i, 'b', j), named_struct('a', j, 'b', i)) END"
     )
     return (
         pairs.select(F.inline("pairs"))
-        .select("corr", F.explode(F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)).alias("p"))
+        .select(F.when(~F.col("flat"), corr).alias("corr"), F.inline(mirrored))
         .select(
-            name_of(F.col("p.a"), columns).alias("col_a"),
-            name_of(F.col("p.b"), columns).alias("col_b"),
+            name_of(F.col("a"), columns).alias("col_a"),
+            name_of(F.col("b"), columns).alias("col_b"),
             "corr",
         )
     )
@@ -216,24 +231,22 @@ def _centres(table: DataFrame, n: int) -> list[dict]:
     return [rows[i] for i in range(n)]
 
 
-def _pair(i: int, j: int, centre: list[dict]) -> Column:
-    x = F.col(f"x{i}") - F.lit(centre[i]["mean"]).cast("double")
-    y = F.col(f"x{j}") - F.lit(centre[j]["mean"]).cast("double")
+def _pair(i: int, j: int, centre: list[dict]) -> str:
+    """SQL struct (i, j, flat, ratio) of one pair over the centred columns."""
+    x, y = f"x{i}", f"x{j}"
     if centre[i]["complete"] and centre[j]["complete"]:
-        count = F.count(F.lit(1))
-        flat = F.lit(bool(centre[i]["constant"] or centre[j]["constant"]))
+        count = "count(1)"
+        flat = "true" if centre[i]["constant"] or centre[j]["constant"] else "false"
     else:
-        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        count = F.count(x)
-        flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+        x, y = f"if({y} IS NULL, NULL, {x})", f"if({x} IS NULL, NULL, {y})"
+        count = f"count({x})"
+        flat = f"min({x}) = max({x}) OR min({y}) = max({y})"
 
-    def spread(a: Column, b: Column) -> Column:
-        return F.sum(a * b) - F.try_divide(F.sum(a) * F.sum(b), count)
+    def spread(a: str, b: str) -> str:
+        return f"(sum({a} * {b}) - try_divide(sum({a}) * sum({b}), {count}))"
 
-    ratio = F.try_divide(spread(x, y), F.sqrt(spread(x, x) * spread(y, y)))
-    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), null_if_nan(ratio)))
-    corr = F.when(~flat, F.lit(1.0) if i == j else F.when(ratio.isNotNull(), bounded))
-    return F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), corr.alias("corr"))
+    ratio = f"try_divide({spread(x, y)}, sqrt({spread(x, x)}) * sqrt({spread(y, y)}))"
+    return f"named_struct('i', {i}, 'j', {j}, 'flat', {flat}, 'ratio', {ratio})"
 
 
 def _tiles(centre: list[dict]) -> list[list[tuple[int, int]]]:

@@ -41,18 +41,18 @@ def _listed(part: DataFrame, order: list[str], *values: str) -> Column:
     return part.agg(kept.alias("rows")).scalar()
 
 
-def build_context(df: DataFrame) -> DataFrame:
+def build_context(df: DataFrame, head: DataFrame | None = None) -> DataFrame:
     """One row that describes the table: counts, types, statistics, top labels, a sample.
 
     Its size depends on the number of columns only: ten labels per text column and twenty
-    sample rows.
+    sample rows. Give ``head`` (from `read_head`) to spare the scan for the first rows.
     """
     fields = data_fields(df)
     profiled = profiles.profile(df)
     numbers = stats.context_stats(df)
     pairs = stats.correlation(df, bool_as_numeric=True)
     labels = stats.top_categories(df, CONTEXT_LABELS)
-    sample = profiles.first_rows(df, SAMPLE_ROWS)
+    sample = profiles.first_rows(df, SAMPLE_ROWS) if head is None else head
     types = F.array(
         *[
             F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"))
@@ -74,9 +74,9 @@ def build_context(df: DataFrame) -> DataFrame:
     )
 
 
-def context_json(df: DataFrame) -> DataFrame:
+def context_json(df: DataFrame, head: DataFrame | None = None) -> DataFrame:
     """The context as one JSON text."""
-    context = build_context(df)
+    context = build_context(df, head)
     return context.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("context"))
 
 

@@ -11,8 +11,6 @@ from sheetwise.functions.columns import ROW_ID, col, is_text
 #: Share of all rows (blanks included) that must parse for a text column to become a date.
 DATE_SHARE = 0.8
 
-DATE_SHAPE = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"
-
 
 def text_evidence(df: DataFrame, columns: list[str]) -> list:
     """Per column: rows, filled values, and how many of them fit each type and date format.
@@ -24,7 +22,6 @@ def text_evidence(df: DataFrame, columns: list[str]) -> list:
         *[F.struct(F.lit(i).alias("c"), col(name).alias("v")) for i, name in enumerate(columns)]
     )
     v = F.col("v")
-    dated = F.when(v.rlike(DATE_SHAPE), v)
     counts = [
         F.count(F.lit(1)).alias("rows"),
         F.count(v).alias("filled"),
@@ -32,11 +29,14 @@ def text_evidence(df: DataFrame, columns: list[str]) -> list:
         F.count(text.to_double(v)).alias("double"),
         F.count(text.to_boolean(v)).alias("boolean"),
         *[
-            F.count(text.to_timestamp(dated, name)).alias(f"date{i}")
-            for i, (name, _, _) in enumerate(text.DATE_FORMATS)
+            F.count(
+                F.when(F.col("shape") == text.shape_position(i), text.parse_shaped(v, i))
+            ).alias(f"date{i}")
+            for i in range(len(text.DATE_FORMATS))
         ],
     ]
-    found = df.select(F.inline(cells)).groupBy("c").agg(*counts).collect()
+    shaped = df.select(F.inline(cells)).withColumn("shape", text.date_shape(v))
+    found = shaped.groupBy("c").agg(*counts).collect()
     by_column = {row["c"]: row for row in found}
     return [by_column.get(i) for i in range(len(columns))]
 
