@@ -12,7 +12,7 @@ from sheetwise.functions.columns import ROW_ID, col
 from sheetwise.functions.text import na_to_null
 from sheetwise.sources.inference import infer_types
 
-CSV_OPTIONS = {"escape": '"', "mode": "FAILFAST", "emptyValue": "", "nullValue": ""}
+CSV_OPTIONS = {"escape": '"', "emptyValue": "", "nullValue": ""}
 
 
 def suffix_of(path: str) -> str:
@@ -44,14 +44,16 @@ def read_csv(
     schema: T.StructType | None = None,
     detect_dates: bool = True,
     multi_line: bool = False,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """Read CSV with a header line, NA tokens as missing, and types found from the values.
 
     Finding types reads the text once more; pass ``schema`` to cast to known types instead.
     ``multi_line`` accepts line breaks inside quotes, at the price of files that cannot be
-    split.
+    split. A row with a wrong number of cells raises; ``mode="PERMISSIVE"`` fills short rows
+    and cuts long ones.
     """
-    options = {**CSV_OPTIONS, "multiLine": multi_line}
+    options = {**CSV_OPTIONS, "multiLine": multi_line, "mode": mode}
     if schema is None:
         header = spark.read.csv(path, header=False, **options).first()
         if header is None:
