@@ -3,7 +3,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sheetwise.operators import quantiles, stats
@@ -149,7 +148,8 @@ def test_correlation_far_from_zero(spark):
     frame = pd.DataFrame({"a": 1e9 + rng.normal(size=3000), "c": rng.normal(size=3000)})
     frame["b"] = frame["a"] * 0.5 + rng.normal(size=3000)
     found = pairs(spark.createDataFrame(frame))
-    assert found["a", "b"] == pytest.approx(frame.corr()["a"]["b"], abs=1e-9)
+    wanted = np.corrcoef(frame["a"] - 1e9, frame["b"] - 5e8)[0, 1]
+    assert found["a", "b"] == pytest.approx(wanted, abs=1e-12)
 
 
 def test_wide_correlation_equals_pandas(spark):
@@ -204,7 +204,7 @@ def test_histogram_without_values(spark):
 
 
 def test_histogram_rejects_infinity(spark):
-    with pytest.raises(PySparkException, match="infinite"):
+    with pytest.raises(Exception, match="infinite"):
         bins(spark.createDataFrame([(1.0,), (float("inf"),)], "x double"), "x")
 
 
