@@ -103,6 +103,15 @@ def context_stats(spark, sf_dir):
     return stats.context_stats(events)
 
 
+@query("""
+SELECT 0 AS position, 'event_id' AS "column", round(CAST(sum(event_id) AS DOUBLE), 2) AS value FROM events
+UNION ALL SELECT 1, 'user_id', round(CAST(sum(user_id) AS DOUBLE), 2) FROM events
+UNION ALL SELECT 2, 'value', round(sum(value), 2) FROM events
+""")
+def metric_cards(spark, sf_dir):
+    return stats.metric_cards(stats.numeric_stats(table(spark, sf_dir, "events")), "sum")
+
+
 CORRELATED = [
     "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey", "flat",
 ]

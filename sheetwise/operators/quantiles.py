@@ -22,6 +22,10 @@ from sheetwise.session import shared_folder
 BUCKET_ROWS = 1_000_000
 #: Equal parts that a large bucket is split into.
 SPLITS = 65_536
+#: The table of wanted buckets is broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
+#: Size of one of its rows without the key.
+STATE_ROW_BYTES = 200
 
 CARRIED = ["count", "total", "min", "max", "mean", "m2"]
 
@@ -55,8 +59,7 @@ def grouped_quantiles(
     columns q0, q1, …
 
     Give ``reread`` when there is one key column whose number of values is bounded by the
-    schema: it returns the values of the given keys, so later passes read less, and the
-    table of wanted buckets (at most two per quantile and key) is broadcast.
+    schema: it returns the values of the given keys, so that later passes read less.
     """
     shared_folder(values.sparkSession)
     base = _bucketed(values, keys)
@@ -92,20 +95,19 @@ def grouped_quantiles(
     # highest value and narrows the range by 65,536, so three splits reach single doubles.
     open_ = F.coalesce(F.col("lo") < F.col("hi"), F.lit(False))
     while True:
-        if reread is not None:
-            left = state.filter(open_).groupBy(*keys).agg(F.max("n").alias("n")).collect()
-            base = _bucketed(reread(sorted(row[0] for row in left)), keys) if left else base
-        else:
-            left = state.filter(open_).agg(F.max("n").alias("n")).dropna().collect()
-        if not any(row["n"] > BUCKET_ROWS for row in left):
+        largest, small = _measure(state.filter(open_), keys)
+        if reread is not None and largest:
+            left = state.filter(open_).select(*keys).distinct().collect()
+            base = _bucketed(reread(sorted(row[0] for row in left)), keys)
+        if largest <= BUCKET_ROWS:
             break
         wide = open_ & (F.col("n") > BUCKET_ROWS)
-        split = _refine(base, state.filter(wide), keys, narrow_bucket, reread is not None)
+        split = _refine(base, state.filter(wide), keys, narrow_bucket, small)
         state = state.filter(~wide).unionByName(split).checkpoint()
 
     found = state.filter(~open_)
-    if left:
-        read = _refine(base, state.filter(open_), keys, lambda v, lo, hi: v, reread is not None)
+    if largest:
+        read = _refine(base, state.filter(open_), keys, lambda v, lo, hi: v, small)
         found = found.unionByName(read)
     ranked = found.select(
         *keys, *CARRIED, F.explode_outer("ranks").alias("rank"), F.col("lo").alias("v")
@@ -117,6 +119,13 @@ def _bucketed(values: DataFrame, keys: list[str]) -> DataFrame:
     return values.select(*keys, "v", log_bucket(F.col("v")).alias("b"))
 
 
+def _measure(state: DataFrame, keys: list[str]) -> tuple[int, bool]:
+    """Rows of the largest bucket, and whether the buckets are small enough to broadcast."""
+    key_bytes = F.octet_length(F.concat_ws("", *[F.col(k).cast("string") for k in keys]))
+    row = state.agg(F.max("n"), F.sum(key_bytes + STATE_ROW_BYTES)).first()
+    return row[0] or 0, (row[1] or 0) <= BROADCAST_BYTES
+
+
 def _position(p: float) -> Column:
     return (F.col("count") - 1) * F.lit(p)
 
@@ -131,15 +140,15 @@ def _ranks_inside(ranks: Column) -> Column:
     return F.filter(ranks, lambda r: (r >= first) & (r < first + n))
 
 
-def _refine(base: DataFrame, state: DataFrame, keys: list[str], bucket, few_keys: bool) -> DataFrame:
+def _refine(base: DataFrame, state: DataFrame, keys: list[str], bucket, small: bool) -> DataFrame:
     """Split the buckets in ``state`` and keep the parts that hold a wanted rank.
 
-    With many keys the values are counted before the join, so that one value that fills a
-    group is a single row by then; whether the wanted buckets are broadcast is left to the
-    size that adaptive execution measures.
+    A small table of buckets is broadcast, so that only the values inside are shuffled.
+    Otherwise the values are counted before the join: one value that fills a group is a
+    single row by then.
     """
     wanted = state.drop("n")
-    if few_keys:
+    if small:
         counted = base.withColumn("n", F.lit(1))
         wanted = F.broadcast(wanted)
     else:

@@ -15,7 +15,8 @@ from sheetwise.operators.schema import classify, column_class, fields_of
 #: Aggregate buffers per aggregate; above 100 fields whole-stage codegen is switched off.
 BUFFERS_PER_AGGREGATE = 90
 
-AGGREGATIONS = ("mean", "sum", "min", "max", "median", "count")
+# The statistics that a metric card can show.
+METRICS = ("mean", "median", "sum", "min", "max")
 
 
 def _empty(df: DataFrame, schema: str) -> DataFrame:
@@ -120,6 +121,13 @@ def numeric_stats(
     )
 
 
+def metric_cards(stats: DataFrame, metric: str = "mean") -> DataFrame:
+    """(column, value): one chosen statistic per numeric column, at two decimals."""
+    if metric not in METRICS:
+        raise ValueError(f"metric is one of {', '.join(METRICS)}")
+    return stats.select("position", "column", F.round(metric, 2).alias("value"))
+
+
 def context_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     """Mean, median, min, max and std at two decimals; booleans count as 0 and 1."""
     stats = numeric_stats(df, approx=approx, bool_as_numeric=True)

@@ -13,8 +13,9 @@ from sheetwise.functions.records import record
 from sheetwise.operators.cleaning import text_columns
 from sheetwise.session import shared_folder
 
-#: Pages that end within this many rows come from a top-n; later ones from sorted partitions.
-TOP_ROWS = 100_000
+#: Pages that end within this many rows come from a top-n, to which every task sends as many
+#: rows as the page end; later pages come from sorted partitions.
+TOP_ROWS = 10_000
 
 
 def search_mask(df: DataFrame, pattern: str) -> Column:

@@ -33,6 +33,11 @@ def by_name(registry: DataFrame, name: str) -> DataFrame:
     return registry.filter(F.col("name") == name)
 
 
+def by_path(registry: DataFrame, path: str) -> DataFrame:
+    """The one data set at a path; the path is its identity."""
+    return registry.filter(F.col("file_path") == path)
+
+
 def first_match(table: DataFrame, column: str, value, key: str) -> DataFrame:
     """First row by ``key`` whose column equals the value, e.g. a user by e-mail."""
     return table.filter(F.col(column) == F.lit(value)).orderBy(key).limit(1)

@@ -42,9 +42,12 @@ def test_quantiles_equal_numpy(spark, monkeypatch, shape, limit):
     assert (row["count"], row["min"], row["max"]) == (len(values), values.min(), values.max())
 
 
+@pytest.mark.parametrize("size", [32 << 20, 0])
 @pytest.mark.parametrize("limit", [1_000_000, 20])
-def test_grouped_median_with_a_hot_group(spark, monkeypatch, limit):
+def test_grouped_median_with_a_hot_group(spark, monkeypatch, limit, size):
+    """With and without the splitting rounds, with and without the broadcast."""
     monkeypatch.setattr(quantiles, "BUCKET_ROWS", limit)
+    monkeypatch.setattr(quantiles, "BROADCAST_BYTES", size)
     rng = np.random.default_rng(5)
     keys = np.where(rng.random(6000) < 0.4, 0, rng.integers(1, 50, 6000))
     frame = pd.DataFrame({"k": keys, "v": rng.normal(100, 10, 6000).round(2)})
