@@ -5,6 +5,8 @@ These write a copy of a whole table under the shared folder and read it back.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sheetwise.catalog.registry import query, table
@@ -96,10 +98,30 @@ def csv_with_known_types(spark, sf_dir):
     return read_csv(spark, path, schema=customers.schema)
 
 
-@query()
-def registry_recent(spark, sf_dir):
-    """Newest files of the folder."""
-    return registry.recent(registry.datasets(spark, sf_dir))
+TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{name}' AS name, '{name}.parquet' AS original_filename, '.parquet' AS file_type, "
+    f"count(*) AS total_rows FROM {name}"
+    for name in TABLES
+))
+def registry_tables(spark, sf_dir):
+    """Every table that the registry lists in the folder, with its rows."""
+    listed = registry.recent(registry.datasets(spark, sf_dir)).collect()
+    sizes = [
+        read_table(spark, row["file_path"]).agg(
+            F.lit(row["name"]).alias("name"),
+            F.lit(row["original_filename"]).alias("original_filename"),
+            F.lit(row["file_type"]).alias("file_type"),
+            F.count(F.lit(1)).alias("total_rows"),
+        )
+        for row in listed
+    ]
+    return reduce(lambda a, b: a.unionByName(b), sizes)
 
 
 @query("SELECT * FROM customer WHERE c_name = 'Customer#000000042' ORDER BY c_custkey LIMIT 1")

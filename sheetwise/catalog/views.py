@@ -49,11 +49,10 @@ ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey NULLS LAST, l_partkey NULLS
 LIMIT 1000 OFFSET (SELECT (count(*) * 9 // 10) // 1000 * 1000 FROM dirty)
 """)
 def deep_page(spark, sf_dir):
-    """A page after nine tenths of the rows, taken from range partitions at any size."""
+    """A page after nine tenths of the rows."""
     lines = dirty_lineitem(spark, sf_dir)
-    start = lines.count() * 9 // 10 // 1000 * 1000
-    order = views._order(views._sort_keys(lines, "l_extendedprice", "desc"))
-    return views._deep_page(lines, start, 1000, order)
+    number = lines.count() * 9 // 10 // 1000 + 1
+    return views.page(lines, number, 1000, "l_extendedprice", "desc")
 
 
 @query("""

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.functions.columns import col, data_fields, is_text, present
+from sheetwise.functions.columns import col, data_fields, is_float, is_text, present
 from sheetwise.functions.text import strip, title_case
 
 # Names of target types and their Spark types.
 TYPE_NAMES = {
-    "int64": "bigint", "int32": "int", "float64": "double", "float32": "float",
-    "bool": "boolean", "str": "string", "object": "string", "category": "string",
+    "int": "bigint", "int64": "bigint", "Int64": "bigint", "int32": "int", "Int32": "int",
+    "int16": "smallint", "int8": "tinyint", "float": "double", "float64": "double",
+    "Float64": "double", "float32": "float", "bool": "boolean", "boolean": "boolean",
+    "str": "string", "string": "string", "object": "string", "category": "string",
     "datetime64[ns]": "timestamp_ntz",
 }
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
-    """Keep one of each set of equal rows."""
-    return df.dropDuplicates([f.name for f in data_fields(df)])
+    """Keep one of each set of equal rows; missing equals missing."""
+    floats = {f.name: present(f) for f in data_fields(df) if is_float(f.dataType)}
+    return _replace(df, floats).dropDuplicates([f.name for f in data_fields(df)])
 
 
 def remove_missing_values(df: DataFrame) -> DataFrame:

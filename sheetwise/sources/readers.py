@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetwise.functions.columns import ROW_ID, col
+from sheetwise.functions.columns import ROW_ID, col, is_float, present
 from sheetwise.functions.text import na_to_null
 from sheetwise.sources.inference import infer_types
 
@@ -31,10 +31,21 @@ def read_table(spark: SparkSession, path: str, row_id: bool = False, **options)
     return readers[suffix](spark, path, row_id=row_id, **options)
 
 
-def read_parquet(spark: SparkSession, path: str | list[str], row_id: bool = False) -> DataFrame:
+def read_parquet(
+    spark: SparkSession, path: str | list[str], row_id: bool = False, nan_as_null: bool = True
+) -> DataFrame:
+    """Read Parquet with NaN as missing, so that a filter treats both alike.
+
+    Filters on float columns cannot reach the files through that step; set ``nan_as_null``
+    to False for tables known to hold no NaN.
+    """
     paths = [path] if isinstance(path, str) else path
     table = spark.read.parquet(*paths)
-    return _with_row_id(table, F.col("_metadata.row_index")) if row_id else table
+    if row_id:
+        table = _with_row_id(table, F.col("_metadata.row_index"))
+    if not nan_as_null or not any(is_float(f.dataType) for f in table.schema):
+        return table
+    return table.select(*[present(f).alias(f.name) for f in table.schema])
 
 
 def read_csv(

@@ -22,14 +22,14 @@ TABLES = [
 ]
 
 SPARK_KINDS = [
-    (T.BooleanType, "boolean"), (T.IntegralType, "integer"), (T.FractionalType, "double"),
+    (T.BooleanType, "boolean"), (T.IntegerType, "int"), (T.LongType, "bigint"),
+    (T.DoubleType, "double"),
     (T.StringType, "text"), (T.TimestampType, "timestamp"), (T.TimestampNTZType, "timestamp"),
     (T.ArrayType, "list"),
 ]
 DUCK_KINDS = {
-    "BOOLEAN": "boolean", "TINYINT": "integer", "SMALLINT": "integer", "INTEGER": "integer",
-    "BIGINT": "integer", "DOUBLE": "double", "FLOAT": "double", "VARCHAR": "text",
-    "TIMESTAMP": "timestamp",
+    "BOOLEAN": "boolean", "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double",
+    "VARCHAR": "text", "TIMESTAMP": "timestamp",
 }
 
 

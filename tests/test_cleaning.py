@@ -39,6 +39,11 @@ def test_drop_missing_sees_nan(spark):
     assert values(cleaning.remove_missing_values(df), "x") == [1.0]
 
 
+def test_missing_rows_are_duplicates(spark):
+    df = spark.createDataFrame([(float("nan"), 1), (None, 1), (0.0, 1), (-0.0, 1)], "x double, y int")
+    assert sorted(values(cleaning.remove_duplicates(df), "x"), key=str) == [0.0, None]
+
+
 def test_cleaning_twice_changes_nothing(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (2, "c")], "x int, s string")
     for operation in (cleaning.remove_duplicates, cleaning.remove_missing_values):

@@ -138,6 +138,14 @@ def test_row_id_of_csv_keeps_file_order(spark, tmp_path):
     assert [r["a"] for r in first_rows(df, 5).collect()] == [0, 1, 2, 3, 4]
 
 
+def test_nan_of_parquet_is_missing(spark, tmp_path, plan_of):
+    path = str(tmp_path / "n.parquet")
+    spark.createDataFrame([(float("nan"),), (9.0,), (None,)], "x double").write.parquet(path)
+    assert read_table(spark, path).filter("x > 5").count() == 1
+    plain = read_table(spark, path, nan_as_null=False).filter("x > 5")
+    assert plain.count() == 2 and "GreaterThan(x,5.0)" in plan_of(plain)
+
+
 def test_registry(spark, tmp_path):
     (tmp_path / "Sales.CSV").write_text("a\n1\n")
     (tmp_path / "b.parquet").write_bytes(b"123")
