@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def datasets(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, original_filename, file_path, file_size, file_type, created_at) per file.
+    """(name, original_filename, file_path, file_size, file_type, created_at) per data set.
 
-    Only the listing is read, not the contents.
+    A data set is a file in the folder, or a folder in it with part files. Only the listing
+    is read, not the contents.
     """
-    listed = spark.read.format("binaryFile").load(folder)
-    listed = listed.select("path", "length", "modificationTime")
-    file = F.regexp_extract("path", r"([^/]+)$", 1)
-    return listed.select(
-        F.regexp_replace(file, r"\.[^.]+$", "").alias("name"),
-        file.alias("original_filename"),
-        F.col("path").alias("file_path"),
-        F.col("length").alias("file_size"),
-        F.lower(F.regexp_extract(file, r"(\.[^.]+)$", 1)).alias("file_type"),
-        F.col("modificationTime").alias("created_at"),
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    inside = f"{urlparse(folder).path.rstrip('/')}/"
+    start = F.locate(inside, F.col("path")) + len(inside)
+    file = F.regexp_extract(F.substr("path", start), "^[^/]+", 0)
+    sets = (
+        listed.select("path", "length", "modificationTime", file.alias("file"))
+        .withColumn("file_path", F.concat(F.substr("path", F.lit(1), start - 1), F.col("file")))
+        .groupBy("file_path", "file")
+        .agg(
+            F.sum("length").alias("file_size"), F.max("modificationTime").alias("created_at")
+        )
+    )
+    return sets.select(
+        F.regexp_replace("file", r"\.[^.]+$", "").alias("name"),
+        F.col("file").alias("original_filename"),
+        "file_path",
+        "file_size",
+        F.lower(F.regexp_extract("file", r"(\.[^.]+)$", 1)).alias("file_type"),
+        "created_at",
     )
 
 

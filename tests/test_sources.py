@@ -153,6 +153,10 @@ def test_registry(spark, tmp_path):
     row = registry.by_name(found, "Sales").first()
     assert (row["file_type"], row["file_size"], row["original_filename"]) == (".csv", 4, "Sales.CSV")
     assert registry.recent(found, 1).count() == 1
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    many = registry.by_name(registry.datasets(spark, f"file://{tmp_path}/"), "many").first()
+    assert read_table(spark, many["file_path"]).count() == 10
+    assert registry.by_path(found, many["file_path"]).count() <= 1
     users = spark.createDataFrame([(2, "e@x"), (1, "e@x")], "id int, email string")
     assert registry.first_match(users, "email", "e@x", "id").first()["id"] == 1
 
