@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions.columns import as_double
@@ -40,7 +40,8 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     guess = F.least(F.greatest(guess, F.lit(1)), F.lit(bins))
     guessed = ranged.select("v", "span", guess.alias("g"))
     placed = guessed.select(
-        F.when((F.col("g") > 1) & (F.col("v") <= edge(F.col("g") - 1)), F.col("g") - 1)
+        F.when(F.col("span")["inner"].isNotNull(), _search(F.col("span")["inner"], F.col("v")))
+        .when((F.col("g") > 1) & (F.col("v") <= edge(F.col("g") - 1)), F.col("g") - 1)
         .when((F.col("g") < bins) & (F.col("v") > edge(F.col("g"))), F.col("g") + 1)
         .otherwise(F.col("g"))
         .alias("bin"),
@@ -58,8 +59,13 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     )
 
 
+def _search(edges: Column, value: Column) -> Column:
+    return F.size(F.filter(edges, lambda e: e < value)) + 1
+
+
 def _span(values: DataFrame, bins: int) -> DataFrame:
-    """One row, one struct: start, stop, width and the lowered first edge; NULL if no value."""
+    """One row, one struct: start, stop, width, the lowered first edge, and, if the bins are
+    hardly wider than the gaps between doubles, the inner edges; NULL if no value."""
     lo, hi = F.col("lo"), F.col("hi")
     limits = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     margin = F.when(lo == 0, 0.001).otherwise(F.abs(lo) * 0.001)
@@ -67,11 +73,18 @@ def _span(values: DataFrame, bins: int) -> DataFrame:
     start = F.when(lo == hi, lo - margin).otherwise(lo)
     stop = F.when(lo == hi, hi + margin).otherwise(hi)
     first = F.when(lo == hi, start).otherwise(lo - (hi - lo) * 0.001)
+    width = (stop - start) / bins
+    inner = F.transform(
+        F.sequence(F.lit(1), F.lit(bins - 1)) if bins > 1 else F.array().cast("array<int>"),
+        lambda i: start + i * width,
+    )
+    tight = width < F.greatest(F.abs(start), F.abs(stop)) * 1e-14
     span = F.struct(
         start.alias("start"),
         stop.alias("stop"),
-        ((stop - start) / bins).alias("width"),
+        width.alias("width"),
         first.alias("first"),
+        F.when(tight, inner).alias("inner"),
     )
     return limits.select(
         F.when(infinite, F.raise_error(F.lit("histogram: the column holds infinite values")))

@@ -26,15 +26,17 @@ def _width(dtype: T.DataType) -> int | None:
 
 
 def data_bytes(field: T.StructField) -> Column:
-    """Estimated data bytes of one value."""
+    """Aggregate: estimated data bytes of a column. Fixed widths follow from the count."""
     value, width = col(field.name), _width(field.dataType)
     if width is not None:
-        return F.when(present(field).isNotNull(), width)
+        return F.count(present(field)) * width
     if is_text(field.dataType) or isinstance(field.dataType, T.BinaryType):
-        return F.octet_length(value)
-    if isinstance(field.dataType, T.ArrayType) and _width(field.dataType.elementType):
-        return F.when(value.isNotNull(), F.size(value) * _width(field.dataType.elementType))
-    return F.octet_length(F.to_json(F.struct(value)))
+        size = F.octet_length(value)
+    elif isinstance(field.dataType, T.ArrayType) and _width(field.dataType.elementType):
+        size = F.when(value.isNotNull(), F.size(value) * _width(field.dataType.elementType))
+    else:
+        size = F.octet_length(F.to_json(F.struct(value)))
+    return F.coalesce(F.sum(size.cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def profile(df: DataFrame) -> DataFrame:
                     F.lit(column_class(field.dataType)).alias("class"),
                     rows.alias("rows"),
                     (rows - F.count(present(field))).alias("missing"),
-                    F.coalesce(F.sum(data_bytes(field).cast("bigint")), F.lit(0)).alias("data_bytes"),
+                    data_bytes(field).alias("data_bytes"),
                 )
             )
         parts.append(df.agg(F.array(*entries).alias("entries")).select(F.inline("entries")))

@@ -69,7 +69,8 @@ def read_csv(
         header = spark.read.csv(path, header=False, **options).first()
         if header is None:
             raise ValueError(f"No header line in {path}")
-        names = header_names(list(header))
+        exact = spark.conf.get("spark.sql.caseSensitive") == "true"
+        names = header_names(list(header), exact)
     else:
         names = schema.names
     texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -84,15 +85,17 @@ def read_csv(
     return table.select(*[filled[f.name].cast(f.dataType).alias(f.name) for f in schema], *kept)
 
 
-def header_names(cells: list[str | None]) -> list[str]:
+def header_names(cells: list[str | None], case_sensitive: bool = False) -> list[str]:
     """Unique column names: blank ones get a number, repeated ones a suffix."""
     names: list[str] = []
+    taken: set[str] = set()
     for i, cell in enumerate(cells):
         name = cell or f"Unnamed: {i}"
         unique, copy = name, 0
-        while unique in names:
+        while (key := unique if case_sensitive else unique.lower()) in taken:
             copy += 1
             unique = f"{name}.{copy}"
+        taken.add(key)
         names.append(unique)
     return names
 

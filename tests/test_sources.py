@@ -81,6 +81,12 @@ def test_header_names():
     assert header_names(["a", None, "a", "a", "a.1"]) == ["a", "Unnamed: 1", "a.1", "a.2", "a.1.1"]
 
 
+def test_header_case(spark, tmp_path):
+    df = read(spark, tmp_path, "a,A\n1,x\n")
+    assert df.columns == ["a", "A.1"] and tuple(df.first()) == (1, "x")
+    assert header_names(["a", "A"], case_sensitive=True) == ["a", "A"]
+
+
 def test_repeated_header(spark, tmp_path):
     df = read(spark, tmp_path, "a,a,b c\n1,x,2\n")
     assert df.dtypes == [("a", "bigint"), ("a.1", "string"), ("b c", "bigint")]

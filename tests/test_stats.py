@@ -201,6 +201,17 @@ def test_histogram_equals_pandas(spark, name, n):
     np.testing.assert_allclose([found[0][0]] + [hi for _, hi, _ in found], edges, atol=1e-12)
 
 
+@pytest.mark.parametrize("n", [1, 2, 10, 37])
+def test_histogram_of_close_values(spark, n):
+    """Bins about as wide as the gap between doubles, where lowering the first edge by 0.1 %
+    of the range changes nothing; the minimum still belongs to bin 1."""
+    series = pd.Series(1e15 + np.arange(9).repeat(range(1, 10)) * 0.125)
+    edges = np.linspace(series.min(), series.max(), n + 1)
+    numbers = np.maximum(np.searchsorted(edges, series, side="left"), 1)
+    found = bins(spark.createDataFrame(series.to_frame("x")), "x", n)
+    assert [c for _, _, c in found] == list(np.bincount(numbers, minlength=n + 1)[1:])
+
+
 def test_histogram_without_values(spark):
     df = spark.createDataFrame([(None, "a")], "x double, s string")
     assert bins(df, "x") == [] and bins(df, "s") == [] and bins(df, "nope") == []
