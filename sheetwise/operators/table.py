@@ -128,6 +128,8 @@ def page_after(
 def _literal(value, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StructType):
         return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in dtype.fields])
+    if isinstance(dtype, T.TimestampNTZType) and value is not None:
+        return F.lit(str(value)).cast(dtype)  # as text: no shift by the session time zone
     return F.lit(value).cast(dtype)
 
 

@@ -56,6 +56,18 @@ def test_page_after_missing_values(spark):
         assert got == wanted
 
 
+def test_page_after_does_not_depend_on_the_time_zone(spark):
+    df = spark.read.parquet(ORDERS)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        first, second = (table.page(df, n, 9, "o_orderdate").collect() for n in (1, 2))
+        after = table.page_after(df, first[-1].asDict(), 9, "o_orderdate").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert after == second
+
+
 def test_deep_pages_equal_sorted_rows(spark, monkeypatch):
     monkeypatch.setattr(table, "TOP_ROWS", 0)
     df = spark.read.parquet(ORDERS).withColumn("g", F.col("o_orderkey") % 3)
