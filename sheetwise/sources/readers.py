@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from sheetwise.functions.columns import ROW_ID, col, is_float, present
 from sheetwise.functions.text import na_to_null
+from sheetwise.operators.profile import first_rows
 from sheetwise.sources.inference import infer_types
 
 CSV_OPTIONS = {"escape": '"', "emptyValue": "", "nullValue": ""}
@@ -100,17 +101,9 @@ def header_names(cells: list[str | None], case_sensitive: bool = False) -> list[
     return names
 
 
-def read_head(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
-    """First n rows of a Parquet table in file order, reading only the first files.
-
-    The number of files doubles until they hold n rows; counting rows reads file footers.
-    """
-    files = sorted(spark.read.parquet(path).inputFiles())
-    take = 1
-    while take < len(files) and read_parquet(spark, files[:take]).count() < n:
-        take *= 2
-    table = read_parquet(spark, files[:take] or path, row_id=True)
-    return table.orderBy(ROW_ID).limit(n).drop(ROW_ID)
+def read_head(spark: SparkSession, path: str, n: int = 5, **options) -> DataFrame:
+    """First n rows of a table in file order, reading only the files that hold them."""
+    return first_rows(read_table(spark, path, row_id=True, **options), n)
 
 
 def _with_row_id(table: DataFrame, row) -> DataFrame:

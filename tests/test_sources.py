@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 
 from sheetwise.functions.columns import ROW_ID
-from sheetwise.operators.profile import first_rows
+from sheetwise.operators.profile import _first_files, first_rows
 from sheetwise.session import shared_folder
 from sheetwise.sources import registry
 from sheetwise.sources.readers import header_names, read_csv, read_head, read_table
@@ -136,6 +136,17 @@ def test_first_rows_in_file_order(spark, tmp_path):
     by_id = [r["id"] for r in first_rows(read_table(spark, path, row_id=True), 20).collect()]
     assert by_id == [r["id"] for r in read_head(spark, path, 20).collect()] == list(range(20))
     assert read_head(spark, path, 500).count() == 100
+    assert read_head(spark, path, 0).count() == 0
+
+
+def test_first_rows_prune_files(spark, tmp_path):
+    path = str(tmp_path / "p.parquet")
+    spark.range(0, 100, 1, 9).write.parquet(path)
+    table = read_table(spark, path, row_id=True)
+    assert len(_first_files(table, 5).select("id").inputFiles()) == 9  # listed, not read
+    assert _first_files(table, 5).count() < 20
+    assert _first_files(table.filter("id > 95"), 3).count() == 4
+    assert [r["id"] for r in first_rows(table.filter("id > 90"), 3).collect()] == [91, 92, 93]
 
 
 def test_row_id_of_csv_keeps_file_order(spark, tmp_path):
