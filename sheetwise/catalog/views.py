@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from sheetwise.catalog.registry import (
     DIRTY_LINEITEM, ORDERS_WITH_GAPS, dirty_lineitem, orders_with_gaps, query, table,
 )
