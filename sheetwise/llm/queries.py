@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.catalog.registry import table
-from sheetwise.llm import quality_rules, url_filter, warc
+from sheetwise.llm import embedding_dedup, near_dedup, packing, quality_rules, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,29 @@ def op2_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *[F.col(f"measured.{c}").alias(c) for c in names])
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op6_best_fit_packing(spark, sf_dir):
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), word_tokenizer())
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query()
+def op7_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op8_minhash_near_dedup(spark, sf_dir):
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("""
 WITH payload AS (
   SELECT page_id, coalesce(html, '') AS html,
