@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.catalog.registry import table
-from sheetwise.llm import embedding_dedup, near_dedup, packing, quality_rules, url_filter, warc
+from sheetwise.llm import embedding_dedup, importance, near_dedup, packing, quality_rules, secret_scan, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +57,17 @@ def op2_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *[F.col(f"measured.{c}").alias(c) for c in names])
 
 
+@query()
+def op3_quality_classifier(spark, sf_dir):
+    sampled = importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return sampled.select("doc_id", "sampled.*")
+
+
+@query()
+def op4_secret_scan(spark, sf_dir):
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
