@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.catalog.registry import table
-from sheetwise.llm import embedding_dedup, importance, near_dedup, packing, quality_rules, secret_scan, url_filter, warc
+from sheetwise.llm import embedding_dedup, importance, license_scan, near_dedup, packing, piece_sampling, quality_rules, secret_scan, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,6 +68,11 @@ def op4_secret_scan(spark, sf_dir):
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_license_scan(spark, sf_dir):
+    return license_scan.license_notices(table(spark, sf_dir, "documents"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -91,6 +96,24 @@ def op8_minhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query()
+def op9_sentencepiece_sampling(spark, sf_dir):
+    sampled = piece_sampling.sample_pieces(table(spark, sf_dir, "documents"), piece_model())
+    return sampled.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 @query("""
 WITH payload AS (
   SELECT page_id, coalesce(html, '') AS html,
