@@ -1,4 +1,63 @@
-"""Pipeline over the documents (work in progress)."""
-STAGES = []
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+"""Pipeline over the documents: sample, judge, deduplicate, mask secrets, pack.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it works on all rows that the stage
+before it kept. All but the last return the columns of the documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sheetwise.llm.common import stored
+from sheetwise.llm.importance import importance_stage
+from sheetwise.llm.near_dedup import near_dedup_stage
+from sheetwise.llm.packing import pack, token_pieces
+from sheetwise.llm.quality_rules import quality_rules_stage
+from sheetwise.llm.queries import word_tokenizer
+from sheetwise.llm.secret_scan import secret_stage
+
+ORACLE_SQL = None
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps."""
+    return importance_stage(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, from hosts that do."""
+    return quality_rules_stage(docs)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup_stage(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark."""
+    return secret_stage(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in training sequences."""
+    pieces = token_pieces(docs, word_tokenizer())
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each result is written and read again."""
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES:
+        rows = stored(stage(spark, rows, sf_dir), name)
+    return rows
