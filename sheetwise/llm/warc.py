@@ -240,8 +240,8 @@ _PAYLOAD = [("payload", pa.string())]
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """One row per record of the listed archives; null payload for a revisit."""
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-    # names of archives are random, so hashing them deals the archives out
-    dealt = manifest.select("archive").repartition("archive")
+    # as many partitions as archives: the planner would put these few bytes into one task
+    dealt = manifest.select("archive").repartition(max(1, manifest.count()), "archive")
     return dealt.mapInArrow(_reader(folder, payloads), schema + (", payload string" if payloads else ""))
 
 
