@@ -167,8 +167,11 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096) -> flo
     while True:
         inside = values.filter(value.between(low, high))
         width = (high - low) / bins
-        if not width > 0 or low + width == low:
-            return high if low == high else sorted(r[0] for r in inside.select(column).distinct().collect())[-1]
+        if not width > 0 or low + width == low:  # a few neighbouring doubles are left
+            for found, n in sorted(inside.groupBy(column).count().collect(), reverse=True):
+                above += n
+                if above >= k:
+                    return found
         at = F.least(F.floor((value - low) / width), F.lit(bins - 1)).cast("int")
         counts = inside.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
         for row in sorted(counts.collect(), key=lambda r: -r["bin"]):
