@@ -111,7 +111,7 @@ TABLES = [
 ))
 def registry_tables(spark, sf_dir):
     """Every table that the registry lists in the folder, with its rows."""
-    listed = registry.recent(registry.datasets(spark, sf_dir)).collect()
+    listed = registry.datasets(spark, sf_dir).orderBy("file_path").collect()
     sizes = [
         read_table(spark, row["file_path"]).agg(
             F.lit(row["name"]).alias("name"),

@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 #: File position column that `read_table(..., row_id=True)` adds.
 ROW_ID = "_row_id"
 
-#: Text longer than this enters a row key as its SHA-256 digest.
-KEY_TEXT_BYTES = 64
-
 
 def col(name: str) -> Column:
     """Column by exact name; dots and back-quotes in names are not special."""
@@ -54,17 +51,13 @@ def null_if_nan(value: Column) -> Column:
 def row_key(field: T.StructField) -> Column:
     """Value to compare whole rows by.
 
-    Long text is replaced by a SHA-256 digest, so a shuffle of row keys stays narrow
-    however long the texts are. A digest form is always longer than any text kept as it
-    is, so the two cannot be confused.
+    Text is replaced by its SHA-256 digest, whatever its length, so a shuffle of row keys stays
+    narrow. Rows with equal keys are equal rows, as `remove_duplicates` takes them.
     """
     if isinstance(field.dataType, T.MapType):
         raise ValueError(f"Column {field.name!r}: map columns cannot be compared for duplicates")
     value = present(field)
-    if is_text(field.dataType):
-        digest = F.concat(F.lit("#"), F.sha2(value, 256))
-        return F.when(F.octet_length(value) > KEY_TEXT_BYTES, digest).otherwise(value)
-    return value
+    return F.unhex(F.sha2(value, 256)) if is_text(field.dataType) else value
 
 
 def chunks(items: list, size: int) -> Iterable[list]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.functions.columns import col, data_fields, is_float, is_text, present
+from sheetwise.functions.columns import ROW_ID, col, data_fields, is_float, is_text, present
 from sheetwise.functions.text import strip, title_case
 
 # Names of target types and their Spark types.
@@ -19,9 +19,16 @@ TYPE_NAMES = {
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
-    """Keep one of each set of equal rows; missing equals missing."""
+    """Keep one of each set of equal rows, the first where rows have a position; missing equals
+    missing."""
+    names = [f.name for f in data_fields(df)]
     floats = {f.name: present(f) for f in data_fields(df) if is_float(f.dataType)}
-    return _replace(df, floats).dropDuplicates([f.name for f in data_fields(df)])
+    rows = _replace(df, floats)
+    if ROW_ID not in df.columns:
+        return rows.dropDuplicates(names)
+    # equal rows differ in their position only
+    kept = rows.groupBy(*[col(n) for n in names]).agg(F.min(ROW_ID).alias(ROW_ID))
+    return kept.select(*[col(n) for n in df.columns])
 
 
 def remove_missing_values(df: DataFrame) -> DataFrame:

@@ -86,8 +86,10 @@ def _span(values: DataFrame, bins: int) -> DataFrame:
         first.alias("first"),
         F.when(tight, inner).alias("inner"),
     )
+    unusable = (width <= 0) | (width == float("inf")) | (F.abs(first) == float("inf"))
     return limits.select(
         F.when(infinite, F.raise_error(F.lit("histogram: the column holds infinite values")))
+        .when(unusable, F.raise_error(F.lit("histogram: the range of the column cannot be cut into bins")))
         .when(lo.isNotNull(), span)
         .alias("span")
     )

@@ -156,9 +156,13 @@ def _refine(base: DataFrame, state: DataFrame, keys: list[str], bucket, small: b
     joined = counted.join(wanted, [*keys, "b"])
     inside = joined.filter(F.col("v").between(F.col("lo"), F.col("hi")))
     same = [*keys, "b", *CARRIED, "below", "ranks"]
+    placed = inside.select(*same, "v", "n", bucket(F.col("v"), F.col("lo"), F.col("hi")).alias("part"))
+    if not small:
+        # The sorted join leaves a bucket in one task. Dealing its parts out anew lets the planner
+        # split a hot bucket in the join, too, as nothing above relies on its partitioning.
+        placed = placed.repartition(*keys, "b", "part")
     parts = (
-        inside.select(*same, "v", "n", bucket(F.col("v"), F.col("lo"), F.col("hi")).alias("part"))
-        .groupBy(*same, "part")
+        placed.groupBy(*same, "part")
         .agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
     # `below` is different for every bucket of a key.

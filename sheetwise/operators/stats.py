@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,9 +16,6 @@ from sheetwise.functions.columns import (
 from sheetwise.operators.quantiles import grouped_quantiles
 from sheetwise.operators.schema import classify, column_class, fields_of
 
-#: Aggregate buffers per aggregate; above 100 fields whole-stage codegen is switched off.
-BUFFERS_PER_AGGREGATE = 90
-
 # The statistics that a metric card can show.
 METRICS = ("mean", "median", "sum", "min", "max")
 
@@ -182,53 +183,115 @@ def correlation(
     A pair uses the rows where both are present; a constant column gives NULL. Fewer than
     two numeric columns give no rows.
 
-    A first pass takes count, mean and range per column (one driver row per column). The
-    second sums products of values centred on those means. Columns without missing values
-    share their sums; a pair with a gap carries its own. The sums are cut into aggregates
-    small enough for compiled code.
+    A first pass takes mean and range per column. The second is one scan, whatever the number
+    of columns and gaps: each batch of rows centred on those means gives the sums of all pairs
+    by matrix products with the mask of present values, and each task sends on one row per
+    pair. Only pairs whose spread is within rounding of zero are read a third time, for their
+    exact range. The driver gets one row per pair of columns.
     """
     columns = classify(df, bool_as_numeric)["numeric"] if columns is None else columns
     if len(columns) < 2:
         return _empty(df, "col_a string, col_b string, corr double")
-    fields = fields_of(df, columns)
-    values = [as_double(f) for f in fields]
+    values = [as_double(f) for f in fields_of(df, columns)]
     table = df.select(*[v.alias(f"x{i}") for i, v in enumerate(values)])
-    centre = _centres(table, len(columns))
-    centred = df.select(*[(v - F.lit(c["mean"])).alias(f"x{c['i']}") for v, c in zip(values, centre, strict=True)])
-    tiles = [
-        centred.agg(F.expr(f"array({', '.join(_pair(i, j, centre) for i, j in tile)})").alias("pairs"))
-        for tile in _tiles(centre)
-    ]
-    pairs = tiles[0]
-    for tile in tiles[1:]:
-        pairs = pairs.unionByName(tile)
-    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ratio")))
-    corr = F.when(F.col("i") == F.col("j"), F.lit(1.0)).when(~F.isnan("ratio"), bounded)
-    mirrored = F.expr(
-        "CASE WHEN i = j THEN array(named_struct('a', i, 'b', j)) "
-        "ELSE array(named_struct('a', i, 'b', j), named_struct('a', j, 'b', i)) END"
-    )
-    return (
-        pairs.select(F.inline("pairs"))
-        .select(F.when(~F.col("flat"), corr).alias("corr"), F.inline(mirrored))
-        .select(
-            name_of(F.col("a"), columns).alias("col_a"),
-            name_of(F.col("b"), columns).alias("col_b"),
-            "corr",
-        )
+    centres = _centres(table, len(columns))
+    means = [c["mean"] if math.isfinite(c["mean"] or 0.0) else 0.0 for c in centres]
+    means = [m or 0.0 for m in means]
+    sums = (
+        table.mapInArrow(_pair_sums(means), PAIR_SUMS)
+        .groupBy("i", "j")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "xx", "yy", "xy")])
+        .collect()
     )
+    constant = {i for i, c in enumerate(centres) if c["constant"] or not math.isfinite(c["mean"] or 0.0)}
+    found, doubtful = {}, []
+    for row in sums:
+        i, j, n = row["i"], row["j"], row["n"]
+        if n == 0 or i in constant or j in constant:
+            found[i, j] = None
+            continue
+        x, y = row["xx"] - row["sx"] ** 2 / n, row["yy"] - row["sy"] ** 2 / n
+        if x <= ROUNDING * row["xx"] or y <= ROUNDING * row["yy"]:
+            doubtful.append((i, j))
+        spread = math.sqrt(x) * math.sqrt(y) if x > 0 and y > 0 else 0.0
+        ratio = (row["xy"] - row["sx"] * row["sy"] / n) / spread if spread else None
+        found[i, j] = None if ratio is None or math.isnan(ratio) else max(-1.0, min(1.0, ratio))
+    for pair in _flat_pairs(table, doubtful):
+        found[pair] = None
+    rows = []
+    for i, a in enumerate(columns):
+        for j, b in enumerate(columns):
+            value = found.get((min(i, j), max(i, j)))
+            rows.append((a, b, 1.0 if i == j and value is not None else value))
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+
+
+PAIR_SUMS = "i int, j int, n bigint, sx double, sy double, xx double, yy double, xy double"
+
+#: Spread of a pair, as a share of its sum of squares, that may be rounding alone.
+ROUNDING = 1e-9
+
+
+def _matrix(batch, n: int) -> np.ndarray:
+    """Rows of a batch as doubles, missing as NaN."""
+    return np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(n)], axis=1)
+
+
+def _pair_sums(means: list[float]):
+    """Sums over the rows where both columns of a pair are present, one row per pair and task."""
+    size = len(means)
+
+    def add(batches):
+        total = np.zeros((4, size, size))
+        for batch in batches:
+            values = _matrix(batch, size) - np.array(means)
+            there = (~np.isnan(values)).astype(float)
+            values = np.where(there > 0, values, 0.0)
+            # counts; sums of i where j is there; squares of i where j is there; products
+            total += [there.T @ there, values.T @ there, (values * values).T @ there, values.T @ values]
+        i, j = np.triu_indices(size)
+        count, first, square, product = total
+        columns = [i, j, count[i, j], first[i, j], first[j, i], square[i, j], square[j, i], product[i, j]]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 5]
+        names = ["i", "j", "n", "sx", "sy", "xx", "yy", "xy"]
+        arrays = [pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return add
+
+
+def _flat_pairs(table: DataFrame, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs of which one column is constant over the rows where both are present."""
+    if not pairs:
+        return []
+    size = len(table.columns)
+
+    def ranges(batches):
+        low, high = np.full((len(pairs), 2), np.inf), np.full((len(pairs), 2), -np.inf)
+        for batch in batches:
+            values = _matrix(batch, size)
+            there = ~np.isnan(values)
+            for k, (i, j) in enumerate(pairs):
+                both = values[there[:, i] & there[:, j]][:, [i, j]]
+                if len(both):
+                    low[k], high[k] = np.minimum(low[k], both.min(0)), np.maximum(high[k], both.max(0))
+        columns = [np.arange(len(pairs)), *low.T, *high.T]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "lx", "ly", "hx", "hy"])
+
+    read = table.mapInArrow(ranges, "k bigint, lx double, ly double, hx double, hy double")
+    flat = read.groupBy("k").agg(F.min("lx") == F.max("hx"), F.min("ly") == F.max("hy"))
+    return [pairs[k] for k, x, y in flat.collect() if x or y]
 
 
 def _centres(table: DataFrame, n: int) -> list[dict]:
-    """Per column: mean, whether it is complete, whether it is constant."""
+    """Per column: mean, and whether it is constant."""
     rows = {}
-    for part in chunks(list(range(n)), 20):
+    for part in chunks(list(range(n)), 40):
         entries = F.array(
             *[
                 F.struct(
                     F.lit(i).alias("i"),
                     F.avg(f"x{i}").alias("mean"),
-                    (F.count(f"x{i}") == F.count(F.lit(1))).alias("complete"),
                     (F.min(f"x{i}") == F.max(f"x{i}")).alias("constant"),
                 )
                 for i in part
@@ -239,43 +302,6 @@ def _centres(table: DataFrame, n: int) -> list[dict]:
     return [rows[i] for i in range(n)]
 
 
-def _pair(i: int, j: int, centre: list[dict]) -> str:
-    """SQL struct (i, j, flat, ratio) of one pair over the centred columns."""
-    x, y = f"x{i}", f"x{j}"
-    if centre[i]["complete"] and centre[j]["complete"]:
-        count = "count(1)"
-        flat = "true" if centre[i]["constant"] or centre[j]["constant"] else "false"
-    else:
-        x, y = f"if({y} IS NULL, NULL, {x})", f"if({x} IS NULL, NULL, {y})"
-        count = f"count({x})"
-        flat = f"min({x}) = max({x}) OR min({y}) = max({y})"
-
-    def spread(a: str, b: str) -> str:
-        return f"(sum({a} * {b}) - try_divide(sum({a}) * sum({b}), {count}))"
-
-    ratio = f"try_divide({spread(x, y)}, sqrt({spread(x, x)}) * sqrt({spread(y, y)}))"
-    return f"named_struct('i', {i}, 'j', {j}, 'flat', {flat}, 'ratio', {ratio})"
-
-
-def _tiles(centre: list[dict]) -> list[list[tuple[int, int]]]:
-    """Pairs i <= j in groups that fit one aggregate; complete pairs need a single buffer
-    each plus two per column, others ten. Neighbouring pairs share columns."""
-    edge = 8
-    n, tiles = len(centre), []
-    for top in range(0, n, edge):
-        for left in range(top, n, edge):
-            block = [
-                (i, j)
-                for i in range(top, min(top + edge, n))
-                for j in range(max(left, i), min(left + edge, n))
-            ]
-            whole = [p for p in block if all(centre[k]["complete"] for k in p)]
-            gaps = [p for p in block if p not in whole]
-            tiles += [whole] if whole else []
-            tiles += list(chunks(gaps, BUFFERS_PER_AGGREGATE // 10))
-    return tiles
-
-
 # --- groups ----------------------------------------------------------------------------
 
 

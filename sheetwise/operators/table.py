@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetwise.functions.columns import ROW_ID, col, data_fields, present
 from sheetwise.functions.records import record
 from sheetwise.operators.cleaning import text_columns
-from sheetwise.session import shared_folder
 
-#: Pages that end within this many rows come from a top-n, to which every task sends as many
-#: rows as the page end; later pages come from sorted partitions.
-TOP_ROWS = 10_000
+#: Pivots that cut the rows in question in each pass of the search for a page, and the number of
+#: rows before it that are then sorted along with it.
+PIVOTS, NEAR_ROWS = 40, 2_000
 
 
 def search_mask(df: DataFrame, pattern: str) -> Column:
@@ -67,36 +67,104 @@ def page(
     if page < 1 or page_size < 1:
         raise ValueError("page and page_size start at 1")
     start = (page - 1) * page_size
-    if start + page_size <= TOP_ROWS:
-        return sort_rows(df, sort_col, sort_dir).offset(start).limit(page_size)
-    return _deep_page(df, start, page_size, _order(_sort_keys(df, sort_col, sort_dir)))
-
-
-def _deep_page(df: DataFrame, start: int, size: int, order: list[Column]) -> DataFrame:
-    """A page far into the table, without passing the rows before it through one task.
-
-    The rows are range partitioned, sorted and numbered inside each partition, and
-    checkpointed so that numbers and rows stay together. The driver sees one count per
-    partition. The last sort key is arbitrary and splits runs of equal rows.
+    keys = _sort_keys(df, sort_col, sort_dir)
+    bound, skipped, equal = _locate(df, start, keys) if start else ([], 0, 0)
+    if not equal:
+        rows = df.filter(_from(keys, bound)) if bound else df
+        return rows.orderBy(*_order(keys)).offset(start - skipped).limit(page_size)
+    # the page starts among rows that are equal in all keys; any of them will do
+    values = [value for value, _ in bound]
+    run = df.filter(_same(keys, values)).limit(min(page_size, skipped + equal - start))
+    rest = page_size - min(page_size, skipped + equal - start)
+    if not rest:
+        return run
+    later = df.filter(_from(keys, [*bound[:-1], (bound[-1][0], False)])).orderBy(*_order(keys)).limit(rest)
+    return run.unionByName(later).orderBy(*_order(keys))
+
+
+def _locate(df: DataFrame, start: int, keys: list[tuple[Column, bool]]):
+    """Where to begin reading for row ``start`` of the sorted table.
+
+    Returns a bound, the number of rows before it, and, if the row lies among rows that are equal
+    in all keys, how many those are. The bound is a list of (value, inclusive) of leading sort keys.
+
+    Key after key, only the key itself and those before it are read: a sample gives pivots, one
+    count of the rows before and up to each pivot tells between which two the row lies, and so on
+    until few rows are left before it. If it lies in a run of one value, the next key takes over.
     """
-    shared_folder(df.sparkSession)
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    sorted_parts = tied.repartitionByRange(*order, F.col("_tie")).sortWithinPartitions(
-        *order, F.col("_tie")
-    )
-    in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = sorted_parts.select(
-        "*", F.spark_partition_id().alias("_part"), in_partition.alias("_at")
-    ).checkpoint()
-    wanted, before = F.lit(False), 0
-    for part in sorted(numbered.groupBy("_part").count().collect()):
-        first, last = start - before, start + size - before
-        if last > 0 and first < part["count"]:
-            wanted = wanted | (
-                (F.col("_part") == part["_part"]) & (F.col("_at") >= first) & (F.col("_at") < last)
-            )
-        before += part["count"]
-    return numbered.filter(wanted).orderBy(*order, "_tie").drop("_tie", "_part", "_at")
+    names = [f"k{i}" for i in range(len(keys))]
+    table = df.select(*[value.alias(name) for name, (value, _) in zip(names, keys, strict=True)])
+    named = [(F.col(name), down) for name, (_, down) in zip(names, keys, strict=True)]
+    prefix, skipped = [], 0
+    left = table.agg(F.count(F.lit(1))).first()[0]
+    for at, key in enumerate(named):
+        rows = table.filter(_same(named, prefix)) if prefix else table
+        low = None  # (value,) below which no row is in question
+        while start - skipped > NEAR_ROWS and skipped + left > start:
+            share = min(1.0, 40 * PIVOTS / left)
+            found = rows.select(key[0]).sample(share, seed=left % 1000).distinct().orderBy(*_order([key])).collect()
+            pivots = [found[len(found) * i // PIVOTS][0] for i in range(PIVOTS)] if len(found) > PIVOTS else [r[0] for r in found]
+            if not pivots:
+                continue
+            counts = rows.agg(
+                *[F.count_if(_before(key, p)).alias(f"before{i}") for i, p in enumerate(pivots)],
+                *[F.count_if(_before(key, p) | _same([key], [p])).alias(f"upto{i}") for i, p in enumerate(pivots)],
+            ).first()
+            begun, ended, inside = 0, left, None
+            for pivot, before, upto in zip(pivots, counts[: len(pivots)], counts[len(pivots) :], strict=True):
+                if skipped + upto <= start:
+                    begun, low = upto, (pivot,)
+                elif skipped + before <= start:
+                    inside = (pivot, before, upto)
+                    break
+                else:
+                    ended = before
+                    rows = rows.filter(_before(key, pivot))
+                    break
+            if inside:
+                pivot, before, upto = inside
+                prefix.append(pivot)
+                skipped, left = skipped + before, upto - before
+                break
+            if begun:
+                rows = rows.filter(~(_before(key, low[0]) | _same([key], [low[0]])))
+            skipped, left = skipped + begun, ended - begun
+        else:
+            return [*[(p, True) for p in prefix], *([(low[0], False)] if low else [])], skipped, 0
+    return [(p, True) for p in prefix], skipped, left
+
+
+def _before(key: tuple[Column, bool], at) -> Column:
+    """Whether a row comes before those with the value ``at``, missing last."""
+    value, down = key
+    if at is None:
+        return value.isNotNull()
+    return F.coalesce((value > _pivot(at)) if down else (value < _pivot(at)), F.lit(False))
+
+
+def _same(keys: list[tuple[Column, bool]], values: list) -> Column:
+    """Whether the leading keys have these values."""
+    return reduce(lambda all_, x: all_ & x, (k.eqNullSafe(_pivot(v)) for (k, _), v in zip(keys, values, strict=False)))
+
+
+def _from(keys: list[tuple[Column, bool]], bound: list[tuple[object, bool]]) -> Column:
+    """Whether a row comes at or after the bound; at it only where the last value is inclusive."""
+    later, same = F.lit(False), F.lit(True)
+    for key, (at, _) in zip(keys, bound, strict=False):
+        equal = key[0].eqNullSafe(_pivot(at))
+        later = later | (same & ~_before(key, at) & ~equal)
+        same = same & equal
+    return later | same if bound[-1][1] else later
+
+
+def _pivot(value) -> Column:
+    if isinstance(value, Row):
+        return F.struct(*[_pivot(value[name]).alias(name) for name in value.__fields__])
+    if isinstance(value, datetime.datetime):
+        return F.lit(str(value)).cast("timestamp_ntz")  # as text: no shift by the session time zone
+    if isinstance(value, (tuple, list)):
+        return F.array(*[_pivot(v) for v in value])
+    return F.lit(value)
 
 
 def page_after(

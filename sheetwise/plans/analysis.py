@@ -70,10 +70,17 @@ def build_context(df: DataFrame, head: DataFrame | None = None) -> DataFrame:
         _listed(profiled, ["position"], "column", "missing", "missing_pct").alias("missing_values"),
         _listed(pairs, ["col_a", "col_b"], "col_a", "col_b", "corr").alias("correlation_matrix"),
         _listed(labels, ["column", "position"], "column", "label", "count").alias("top_categories"),
-        sample.agg(F.collect_list(record(sample)).alias("rows")).scalar().alias("sample"),
+        _in_order(sample).alias("sample"),
     )
 
 
+def _in_order(sample: DataFrame) -> Column:
+    """Records of a few rows, in the order of the rows."""
+    numbered = sample.select(record(sample).alias("record"), F.monotonically_increasing_id().alias("at"))
+    listed = F.sort_array(F.collect_list(F.struct("at", "record")))
+    return numbered.agg(F.transform(listed, lambda r: r["record"]).alias("rows")).scalar()
+
+
 def context_json(df: DataFrame, head: DataFrame | None = None) -> DataFrame:
     """The context as one JSON text."""
     context = build_context(df, head)

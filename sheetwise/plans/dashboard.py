@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import combinations, zip_longest
 
 from pyspark.sql import DataFrame
 
@@ -66,19 +67,23 @@ def recommend_charts(df: DataFrame) -> list[dict]:
     dates, texts = found["datetime"], found["categorical"]
     totals = label_totals(df, texts) if texts else {}
     category = category_column(texts, totals)
-    specs = []
-    if category and numbers:
-        specs += [_spec("bar", f"{y} by {category}", x=category, y=y, aggregation="sum") for y in numbers[:2]]
-    if dates and numbers:
-        specs += [_spec("line", f"{numbers[0]} over {dates[0]}", x=dates[0], y=numbers[0], aggregation="sum")]
-    if len(numbers) >= 2:
-        specs += [_spec("scatter", f"{numbers[0]} and {numbers[1]}", x=numbers[0], y=numbers[1])]
-    specs += [_spec("histogram", f"Distribution of {n}", column=n) for n in numbers[:2]]
-    specs += [
+    usable = [c for c in texts if not IDENTIFIER.search(c)] or texts
+    bars = [_spec("bar", f"{y} by {category}", x=category, y=y, aggregation="sum") for y in numbers if category]
+    lines = [
+        _spec("line", f"{y} over {d}", x=d, y=y, aggregation="sum") for d in dates for y in numbers
+    ]
+    scatters = [_spec("scatter", f"{a} and {b}", x=a, y=b) for a, b in combinations(numbers, 2)]
+    histograms = [_spec("histogram", f"Distribution of {n}", column=n) for n in numbers]
+    pies = [
         _spec("pie", f"Share of {c}", column=c)
         for c in texts
         if 0 < totals[c] <= PIE_LABELS and not IDENTIFIER.search(c)
     ]
+    counts = [_spec("bar", f"Rows by {c}", x=c, y=c, aggregation="count") for c in usable]
+    # the best of each kind first, then the other columns and pairs in turn
+    specs = [*bars[:2], *lines[:1], *scatters[:1], *histograms[:2], *pies]
+    rest = [bars[2:], lines[1:], scatters[1:], histograms[2:], counts]
+    specs += [spec for turn in zip_longest(*rest) for spec in turn if spec]
     return specs[:MAX_CHARTS]
 
 

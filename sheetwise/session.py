@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,13 +29,13 @@ def local_session(cpus: str | int = "*", app: str = "sheetwise") -> SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master, where driver and
-    executors share one machine, gets a temporary folder instead.
+    The cluster names it in ``spark.checkpoint.dir``, or the program by ``setCheckpointDir``. Only
+    a local master, where driver and executors share one machine, gets a temporary folder instead.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if folder is None and context.master.startswith("local"):
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="sheetwise-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and re.match(r"local(\[|$)", context.master):
+        folder = tempfile.mkdtemp(prefix="sheetwise-")
     if folder is None:
         raise ValueError("Set spark.checkpoint.dir to a folder shared by all executors")
     if context.getCheckpointDir() is None:

@@ -69,7 +69,7 @@ def test_page_after_does_not_depend_on_the_time_zone(spark):
 
 
 def test_deep_pages_equal_sorted_rows(spark, monkeypatch):
-    monkeypatch.setattr(table, "TOP_ROWS", 0)
+    monkeypatch.setattr(table, "NEAR_ROWS", 5)
     df = spark.read.parquet(ORDERS).withColumn("g", F.col("o_orderkey") % 3)
     wanted = [tuple(r) for r in table.sort_rows(df, "g").collect()]
     for number, size in ((1, 50), (7, 100), (2, 1000), (40, 37), (99, 100)):
@@ -78,7 +78,7 @@ def test_deep_pages_equal_sorted_rows(spark, monkeypatch):
 
 
 def test_deep_page_of_equal_rows(spark, monkeypatch):
-    monkeypatch.setattr(table, "TOP_ROWS", 0)
+    monkeypatch.setattr(table, "NEAR_ROWS", 5)
     df = spark.range(0, 3000, 1, 8).select(F.when(F.col("id") < 1000, F.col("id")).otherwise(-1).alias("x"))
     found = [r["x"] for r in table.page(df, 20, 100, "x").collect()]
     assert found == [-1] * 100
