@@ -19,10 +19,14 @@ INTEGER_SHAPE = r"^\s*[+-]?\d+\s*$"
 DOUBLE_SHAPE = r"(?i)^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity)\s*$"
 
 #: Text without this beginning has none of the date shapes below.
-DATE_LIKE = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"
+DATE_LIKE = r"^\d{1,4}[-/](\d{1,2}|[A-Za-z]{3})[-/]\d{1,4}"
+
+# English month names as dates abbreviate them.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 # Candidate date formats in order of preference: (name, shape, rewrite to year-month-day).
-_TIME = r"\d{2}:\d{2}:\d{2}(\.\d{1,6})?"
+_TIME = r"\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?"
+_ZONE = r"(?:Z|[+-]\d{2}:\d{2})"
 DATE_FORMATS = [
     ("yyyy-MM-dd HH:mm:ss", rf"^\d{{4}}-\d{{2}}-\d{{2}} {_TIME}$", None),
     ("yyyy-MM-dd'T'HH:mm:ss", rf"^\d{{4}}-\d{{2}}-\d{{2}}T{_TIME}$", None),
@@ -31,6 +35,10 @@ DATE_FORMATS = [
     ("d/M/yyyy", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1"),
     ("yyyy/MM/dd", r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
     ("d-M-yyyy", r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$2-$1"),
+    ("yyyy-MM-dd HH:mm:ssXXX", rf"^\d{{4}}-\d{{2}}-\d{{2}}[T ]{_TIME}{_ZONE}$", None),
+    ("M/d/yyyy HH:mm:ss", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}) ({_TIME})$", "$3-$1-$2 $4"),
+    ("d/M/yyyy HH:mm:ss", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}) ({_TIME})$", "$3-$2-$1 $4"),
+    ("d-MMM-yyyy", r"^(\d{1,2})-([A-Za-z]{3})-(\d{4})$", "$3-$2-$1"),
 ]
 
 
@@ -79,8 +87,16 @@ def shape_position(i: int) -> int:
 def parse_shaped(value: Column, i: int) -> Column:
     """Parse text that has the shape of date format i: rewritten to year-month-day, then a
     cast without a formatter, so no exception is thrown per bad value."""
-    _, shape, rewrite = DATE_FORMATS[i]
+    name, shape, rewrite = DATE_FORMATS[i]
     iso = value if rewrite is None else F.regexp_replace(value, shape, rewrite)
+    if "HH" in name:  # times without seconds
+        iso = F.regexp_replace(iso, r"([T ]\d{1,2}:\d{2})(?=Z|[+-]|$)", "$1:00")
+    if name == "yyyy-MM-dd HH:mm:ssXXX":  # an instant, given in UTC
+        local = iso.try_cast("timestamp").cast("timestamp_ntz")
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
+    if name == "d-MMM-yyyy":
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(value, shape, 2)))
+        iso = F.regexp_replace(iso, "[A-Za-z]{3}", F.when(month > 0, month).cast("string"))
     return iso.try_cast("timestamp_ntz")
 
 

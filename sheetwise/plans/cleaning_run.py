@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +58,18 @@ def run_steps(df: DataFrame, steps: list[dict], source_path: str) -> tuple[str,
     """Write the cleaned copy to ``<stem>_clean<suffix>`` and report on it.
 
     Returns the new path and one row: original_rows, resulting_rows, resulting_columns,
-    message. The source stays as it is. The result is counted from the files written, not by
+    message. The source stays as it is; the copy of an earlier run is replaced,
+    which raises if the rows to clean are read from it. The result is counted from the files written, not by
     counters inside the write job: a stage that is run again after an executor is lost would
     count its rows twice.
     """
     spark = df.sparkSession
     cleaned = apply_steps(df, steps)
-    path = write_table(cleaned, clean_path(source_path))
+    path = clean_path(source_path)
+    folder = unquote(urlparse(path).path).rstrip("/")
+    if any(unquote(urlparse(file).path).startswith(f"{folder}/") for file in df.inputFiles()):
+        raise ValueError(f"Cannot overwrite {path}: the rows to clean are read from it")
+    write_table(cleaned, path, replace=True)
     if suffix_of(path) == ".csv":
         columns = ", ".join(f"`{name}` string" for name in cleaned.columns)
         written = spark.read.csv(path, schema=columns, header=True, escape='"', multiLine=True)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +15,8 @@ from sheetwise.operators.profile import first_rows
 from sheetwise.sources.inference import infer_types
 
 CSV_OPTIONS = {"escape": '"', "emptyValue": "", "nullValue": ""}
+#: Stands behind the last cell of a row while its cells are counted.
+END_MARK = "\x1eend\x1e"
 
 
 def suffix_of(path: str) -> str:
@@ -55,17 +58,21 @@ def read_csv(
     row_id: bool = False,
     schema: T.StructType | None = None,
     detect_dates: bool = True,
-    multi_line: bool = False,
-    mode: str = "FAILFAST",
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read CSV with a header line, NA tokens as missing, and types found from the values.
 
     Finding types reads the text once more; pass ``schema`` to cast to known types instead.
-    ``multi_line`` accepts line breaks inside quotes, at the price of files that cannot be
-    split. A row with a wrong number of cells raises; ``mode="PERMISSIVE"`` fills short rows
-    and cuts long ones.
+    Line breaks inside quotes are found by one more pass over the lines and make files that
+    cannot be split; ``multi_line=True`` spares that pass, ``multi_line=False`` raises if a quote
+    is still open at the end of a line. A row with fewer
+    cells than the header is filled with missing values, one with more raises, whichever columns
+    are read.
     """
-    options = {**CSV_OPTIONS, "multiLine": multi_line, "mode": mode}
+    broken = [] if multi_line else _open_quotes(spark, path)
+    if broken and multi_line is False:
+        raise ValueError(f"{path}: a quote is open at the end of a line ({broken[0]!r}); read with multi_line=True")
+    options = {**CSV_OPTIONS, "multiLine": bool(multi_line or broken)}
     if schema is None:
         header = spark.read.csv(path, header=False, **options).first()
         if header is None:
@@ -74,8 +81,11 @@ def read_csv(
         names = header_names(list(header), exact)
     else:
         names = schema.names
-    texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    table = spark.read.csv(path, schema=texts, header=True, **options)
+    raw = free_name(names, "_raw_row")
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in [*names, raw]])
+    whole_rows = spark.read.option("columnPruning", False).option("columnNameOfCorruptRecord", raw)
+    table = whole_rows.csv(path, schema=texts, header=True, **options)
+    table = table.filter(_not_too_long(col(raw), col(names[0]), len(names), options))
     if row_id:
         table = _with_row_id(table, F.monotonically_increasing_id())
     kept = [ROW_ID] if row_id else []
@@ -86,6 +96,37 @@ def read_csv(
     return table.select(*[filled[f.name].cast(f.dataType).alias(f.name) for f in schema], *kept)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
+def _open_quotes(spark: SparkSession, path: str) -> list[str]:
+    """The beginning of a line with an odd number of quotes, if there is one."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    return [r[0] for r in lines.filter(quotes % 2 == 1).limit(1).select(F.substring("value", 1, 60)).collect()]
+
+
+def _not_too_long(raw: Column, first: Column, cells: int, options: dict) -> Column:
+    """True, or an error for a row with more cells than the header.
+
+    The error names the first cell; Spark does not read ``raw`` without some other column. ``raw`` is the text of rows with a wrong number of cells, NULL for others. A mark put behind
+    the row shows up among the first cells only if the row is not too long.
+    """
+    marked = F.from_csv(
+        F.concat(raw, F.lit(f",{END_MARK}")),
+        ", ".join(f"c{i} string" for i in range(cells + 1)),
+        {k: str(v) for k, v in options.items() if k != "multiLine"},
+    )
+    ends = reduce(lambda a, b: a | b, (marked[f"c{i}"].eqNullSafe(F.lit(END_MARK)) for i in range(cells + 1)))
+    too_long = F.raise_error(
+        F.concat(F.lit(f"A row has more than {cells} cells: "), F.substring(raw, 1, 200), F.lit(" begins with "), F.coalesce(first, F.lit("")))
+    )
+    return F.when(raw.isNull() | ends, F.lit(True)).otherwise(too_long.cast("boolean"))
+
+
 def header_names(cells: list[str | None], case_sensitive: bool = False) -> list[str]:
     """Unique column names: blank ones get a number, repeated ones a suffix."""
     names: list[str] = []

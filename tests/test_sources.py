@@ -4,8 +4,10 @@ from datetime import datetime
 
 import pytest
 
+from sheetwise.catalog.files import registry_tables
 from sheetwise.functions.columns import ROW_ID
 from sheetwise.operators.profile import _first_files, first_rows
+from sheetwise.plans.cleaning_run import run_steps
 from sheetwise.session import shared_folder
 from sheetwise.sources import registry
 from sheetwise.sources.readers import header_names, read_csv, read_head, read_table
@@ -106,13 +108,71 @@ def test_unsupported(spark):
 
 
 def test_rows_with_too_many_cells_fail(spark, tmp_path):
-    with pytest.raises(Exception, match="MALFORMED"):
-        read(spark, tmp_path, "a,b\n1,2\n1,2,3\n").collect()
-
-
-def test_short_rows_can_be_filled(spark, tmp_path):
-    df = read(spark, tmp_path, "a,b\n1,2\n3\n", mode="PERMISSIVE")
-    assert [tuple(r) for r in df.collect()] == [(1, 2), (3, None)]
+    schema = spark.createDataFrame([], "a string, b string").schema
+    for long in ("1,2,3", "1,2,", '1,2,"x,y"', "1,2,,,5"):
+        with pytest.raises(Exception, match="more than 2 cells"):
+            read(spark, tmp_path, f"a,b\n1,2\n{long}\n")
+        table = read_csv(spark, str(tmp_path / "in.CSV"), schema=schema)
+        for rows in (table, table.select("a")):
+            with pytest.raises(Exception, match="more than 2 cells"):
+                rows.collect()
+        with pytest.raises(Exception, match="more than 2 cells"):
+            table.count()
+
+
+def test_short_rows_are_filled(spark, tmp_path):
+    df = read(spark, tmp_path, 'a,b,c\n1,2,x\n3\n4,\n5,6,\n,,\n7,8,"x,y"\n')
+    rows = [(1, 2, "x"), (3, None, None), (4, None, None), (5, 6, None), (None, None, None), (7, 8, "x,y")]
+    assert [tuple(r) for r in df.collect()] == rows
+    assert df.count() == 6 and [r["a"] for r in df.select("a").collect()] == [r[0] for r in rows]
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    one, two = 'a\n"x\ny"\nz\n', 'a,b\n1,"x\n\ny"\n2,z\n'
+    assert [r["a"] for r in read(spark, tmp_path, one).collect()] == ["x\ny", "z"]
+    df = read(spark, tmp_path, two)
+    assert [tuple(r) for r in df.collect()] == [(1, "x\n\ny"), (2, "z")] and df.count() == 2
+    for text in (one, two):
+        with pytest.raises(ValueError, match="multi_line=True"):
+            read(spark, tmp_path, text, multi_line=False)
+    with pytest.raises(Exception, match="more than 2 cells"):
+        read(spark, tmp_path, two + '3,"a\nb",c\n')
+
+
+@pytest.mark.parametrize(
+    ("cells", "wanted"),
+    [
+        (["2024-01-02 10:00", "2024-01-02 10:00:30"], "2024-01-02 10:00:00"),
+        (["2024-01-02T10:00", "2024-01-02T10:00:30.5"], "2024-01-02 10:00:00"),
+        (["2024-01-02T03:04:05Z", "2024-01-02 03:04+02:00"], "2024-01-02 03:04:05"),
+        (["2024-01-02T03:04:05+05:30"], "2024-01-01 21:34:05"),
+        (["1/2/2024 10:00:00", "1/13/2024 9:00"], "2024-01-02 10:00:00"),
+        (["2/1/2024 10:00:00", "13/1/2024 10:00"], "2024-01-02 10:00:00"),
+        (["02-Jan-2024", "3-MAR-2024"], "2024-01-02 00:00:00"),
+    ],
+)
+def test_date_forms(spark, tmp_path, cells, wanted):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = read(spark, tmp_path, "d\n" + "\n".join(cells) + "\n")
+        assert df.schema["d"].dataType.simpleString() == "timestamp_ntz"
+        assert str(df.first()["d"]) == wanted
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_second_run_replaces_the_copy(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n1,"x\ny"\n1,"x\ny"\n2,z\n')
+    steps = [{"operation": "remove_duplicates"}]
+    for _ in range(2):
+        path, report = run_steps(read_table(spark, str(tmp_path / "t.csv")), steps, str(tmp_path / "t.csv"))
+        assert report.first()["resulting_rows"] == 2
+        assert sorted(tuple(r) for r in read_table(spark, path).collect()) == [(1, "x\ny"), (2, "z")]
+    again = read_table(spark, path)
+    with pytest.raises(Exception, match="(?i)overwrite"):
+        run_steps(again, steps, str(tmp_path / "t.csv"))
+    assert again.count() == 2
 
 
 def test_known_schema(spark, tmp_path):
@@ -179,5 +239,32 @@ def test_registry(spark, tmp_path):
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared_folder(spark) == (old or shared_folder(spark))
+    class Context:
+        def __init__(self, master, folder):
+            self.master, self.folder = master, folder
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master, folder, setting):
+            self.sparkContext = Context(master, folder)
+            self.conf = {"spark.checkpoint.dir": setting}
+
+    assert shared_folder(Session("yarn", None, "hdfs:///shared")) == "hdfs:///shared"
+    assert shared_folder(Session("yarn", "hdfs:///set", None)) == "hdfs:///set"
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(Session(master, None, None))
+    local = Session("local[2]", None, None)
+    assert shared_folder(local) == local.sparkContext.getCheckpointDir()
+
+
+def test_registry_lists_every_table(spark, tmp_path):
+    for i in range(60):
+        spark.range(i).coalesce(1).write.parquet(str(tmp_path / f"t{i:02}.parquet"))
+    found = registry_tables(spark, str(tmp_path)).collect()
+    assert [(r["name"], r["total_rows"]) for r in found] == [(f"t{i:02}", i) for i in range(60)]
