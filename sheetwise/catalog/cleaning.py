@@ -8,6 +8,7 @@ from sheetwise.catalog.registry import (
     DIRTY_LINEITEM, LINEITEM_COLUMNS, NOISY_PART, TITLE_CASE, dirty_lineitem, noisy_part,
     orders_with_gaps, query, table,
 )
+from sheetwise.functions.columns import ROW_ID
 from sheetwise.operators import cleaning
 from sheetwise.plans import cleaning_run
 from sheetwise.session import scratch_path
@@ -21,6 +22,18 @@ def remove_duplicates(spark, sf_dir):
     return cleaning.remove_duplicates(dirty_lineitem(spark, sf_dir))
 
 
+@query("""
+SELECT l_returnflag, l_linenumber, l_quantity, min(place) - 1 AS first_row
+FROM (SELECT *, row_number() OVER () AS place FROM lineitem)
+GROUP BY l_returnflag, l_linenumber, l_quantity
+""")
+def remove_duplicates_in_file_order(spark, sf_dir):
+    """Of equal rows the first in the file is kept."""
+    lines = read_table(spark, f"{sf_dir}/lineitem.parquet", row_id=True)
+    kept = cleaning.remove_duplicates(lines.select("l_returnflag", "l_linenumber", "l_quantity", ROW_ID))
+    return kept.withColumn("first_row", F.col(ROW_ID)["row"]).drop(ROW_ID)
+
+
 @query(f"WITH {DIRTY_LINEITEM} SELECT * FROM dirty WHERE {ALL_PRESENT}")
 def remove_missing_values(spark, sf_dir):
     return cleaning.remove_missing_values(dirty_lineitem(spark, sf_dir))

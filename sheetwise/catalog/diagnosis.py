@@ -187,16 +187,20 @@ def warnings_clean_table(spark, sf_dir):
 
 
 @query("""
-SELECT * FROM (VALUES ('numeric', 3, 'event_id,user_id,value'),
-  ('categorical', 2, 'event_type,props'), ('datetime', 1, 'ts'), ('boolean', 1, 'high'))
-  AS t(class, total, columns)
-JOIN (SELECT count(*) AS high FROM events WHERE value > 100) ON true
+SELECT class, total, columns, missing FROM (VALUES
+  ('numeric', 3, 'event_id,user_id,value',
+   (SELECT 3 * count(*) - count(event_id) - count(user_id) - count(value) FROM events)),
+  ('categorical', 2, 'event_type,props', (SELECT 2 * count(*) - count(event_type) - count(props) FROM events)),
+  ('datetime', 1, 'ts', (SELECT count(*) - count(ts) FROM events)),
+  ('boolean', 1, 'high', (SELECT count(*) FROM events WHERE value <= 100 OR value IS NULL)))
+  AS t(class, total, columns, missing)
 """)
 def column_classes_of_events(spark, sf_dir):
-    events = table(spark, sf_dir, "events").withColumn("high", F.col("value") > 100)
-    high = events.agg(F.count_if("high").alias("high")).scalar()
-    classes = column_classes(events).withColumn("columns", F.array_join("columns", ","))
-    return classes.withColumn("high", high)
+    """Columns of each class, and how many of their cells are missing."""
+    high = F.when(F.col("value") > 100, F.lit(True))
+    events = table(spark, sf_dir, "events").withColumn("high", high)
+    missing = profiles.profile(events).groupBy("class").agg(F.sum("missing").alias("missing"))
+    return column_classes(events).withColumn("columns", F.array_join("columns", ",")).join(missing, "class")
 
 
 @query(f"""{DIRTY_RATED}

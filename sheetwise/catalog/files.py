@@ -31,6 +31,33 @@ def csv_roundtrip_whole_texts(spark, sf_dir):
     return read_table(spark, path, multi_line=True)
 
 
+@query("SELECT * FROM documents")
+def csv_quoted_breaks(spark, sf_dir):
+    """Line breaks inside quotes are found without being told of."""
+    path = write_table(table(spark, sf_dir, "documents"), scratch_path(spark, "documents.csv"))
+    return read_table(spark, path)
+
+
+@query("""
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS o_totalprice,
+       CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS o_orderpriority
+FROM orders
+""")
+def csv_short_rows(spark, sf_dir):
+    """Rows that end before the last column."""
+    cells = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"]
+    texts = [F.col(c).cast("string") for c in cells]
+    line = (
+        F.when(F.col("o_orderstatus") == "F", F.concat_ws(",", *texts[:2]))
+        .when(F.col("o_orderstatus") == "O", F.concat_ws(",", *texts))
+        .otherwise(F.concat_ws(",", *texts[:3]))
+    )
+    path = scratch_path(spark, "orders.csv")
+    lines = table(spark, sf_dir, "orders").select(line.alias(",".join(cells)))
+    lines.write.csv(path, header=True, sep="\x01", quote="")
+    return read_table(spark, path)
+
+
 @query("""
 SELECT o_orderkey,
        CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey END AS o_custkey,
@@ -69,7 +96,8 @@ def type_inference(spark, sf_dir):
 @query("""
 SELECT o_orderkey,
        CASE WHEN o_totalprice >= 10000 THEN o_orderdate END AS month_first,
-       o_orderdate AS day_first,
+       o_orderdate AS day_first, o_orderdate AS minutes, o_orderdate AS zoned,
+       o_orderdate AS month_first_time, o_orderdate AS month_name,
        CASE WHEN o_orderstatus = 'O' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'later' END AS too_few
 FROM orders
 """)
@@ -83,6 +111,10 @@ def date_detection(spark, sf_dir):
             .otherwise("unknown")
             .alias("month_first"),
             F.date_format("o_orderdate", "d-M-yyyy").alias("day_first"),
+            F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("minutes"),
+            F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("zoned"),
+            F.date_format("o_orderdate", "M/d/yyyy H:mm:ss").alias("month_first_time"),
+            F.date_format("o_orderdate", "dd-MMM-yyyy").alias("month_name"),
             F.when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "yyyy-MM-dd"))
             .otherwise("later")
             .alias("too_few"),

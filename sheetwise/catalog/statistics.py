@@ -112,9 +112,7 @@ def metric_cards(spark, sf_dir):
     return stats.metric_cards(stats.numeric_stats(table(spark, sf_dir, "events")), "sum")
 
 
-CORRELATED = [
-    "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey", "flat",
-]
+CORRELATED = [*LINEITEM_NUMBERS, "flat"]
 
 
 @query(f"WITH {DIRTY_LINEITEM}, wide AS (SELECT *, 7 AS flat FROM dirty) " + " UNION ALL ".join(
@@ -129,6 +127,27 @@ def correlation(spark, sf_dir):
     return found.withColumn("corr", F.round("corr", 6) + F.lit(0.0))
 
 
+WIDE = [f"c{i}" for i in range(40)]
+
+
+def _wide_column(i: int) -> str:
+    """Every column has gaps of its own."""
+    return f"CASE WHEN l_orderkey % {i + 2} <> 0 THEN l_quantity * {i + 1} + l_partkey % {7 * i + 3} END"
+
+
+@query(f"""
+WITH wide AS (SELECT {', '.join(f'CAST({_wide_column(i)} AS DOUBLE) AS c{i}' for i in range(40))} FROM lineitem)
+SELECT unnest([{', '.join(
+    f"{{'col_a': '{a}', 'col_b': '{b}', 'corr': round(corr({a}, {b}), 5) + 0.0}}" for a in WIDE for b in WIDE
+)}], recursive := true) FROM wide
+""")
+def correlation_wide(spark, sf_dir):
+    """Forty columns with gaps, in one scan."""
+    lines = table(spark, sf_dir, "lineitem")
+    found = stats.correlation(lines.select(*[F.expr(_wide_column(i)).cast("double").alias(f"c{i}") for i in range(40)]))
+    return found.withColumn("corr", F.round("corr", 5) + F.lit(0.0))
+
+
 @query("""
 SELECT 'ts' AS "column", min(ts) AS min_date, max(ts) AS max_date, count(ts) AS total_records,
        count(DISTINCT ts) AS unique_dates FROM events
@@ -251,6 +270,19 @@ def group_median_few_groups(spark, sf_dir):
     return _group(dirty_lineitem(spark, sf_dir), "l_returnflag", "l_extendedprice", "median")
 
 
+HOT_KEY = "CASE WHEN l_orderkey % 5 < 2 THEN 0 ELSE l_orderkey END"
+
+
+@query(f"""
+WITH hot AS (SELECT {HOT_KEY} AS hot, l_extendedprice FROM lineitem)
+{_group_sql('hot', 'hot', 'quantile_cont(l_extendedprice, 0.5)')}
+""")
+def group_median_hot_key(spark, sf_dir):
+    """One key has two fifths of the rows."""
+    lines = table(spark, sf_dir, "lineitem").select(F.expr(HOT_KEY).alias("hot"), "l_extendedprice")
+    return _group(lines, "hot", "l_extendedprice", "median")
+
+
 @query(f"WITH {DIRTY_LINEITEM} {_group_sql('dirty', 'l_returnflag', 'count(l_quantity)')}")
 def group_count(spark, sf_dir):
     return _group(dirty_lineitem(spark, sf_dir), "l_returnflag", "l_quantity", "count")
