@@ -4,8 +4,8 @@ Paragraphs are lines; long ones are read in overlapping windows of words, so a n
 line is seen whole. Windows become sparse vectors of hashed words and word pairs, and a multinomial
 logistic regression names the licence family or ``unknown``. It is trained on the templates below,
 whole, cut short and set into lines of the corpus, against plain lines of about ``TRAIN_DOCS``
-documents. A temperature, chosen on held-out samples, calibrates the probabilities; a family below
-``LEAST`` is unknown. A prediction is confirmed if the window has most of the words and word pairs
+documents. A temperature, chosen on held-out samples, and the share of windows with a notice
+calibrate the probabilities; a family below ``LEAST`` is unknown. A prediction is confirmed if the window has most of the words and word pairs
 of a template of that family.
 
 All of it is DataFrame functions and Spark's own feature and regression classes; rows are scored
@@ -21,6 +21,7 @@ Defined results:
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -77,7 +78,11 @@ FAMILIES = ["unknown", *sorted(TEMPLATES)]
 TRAIN_DOCS = 3000
 WINDOW, STEP = 40, 24
 FEATURES_LOG = 16
-LEAST, OVERLAP = 0.5, 0.75
+LEAST, OVERLAP = 0.1, 0.75
+#: Share of windows that bear a notice.
+NOTICES = 0.05
+#: Windows of the corpus with less of every template are samples of the unknown class.
+UNLIKE = 0.5
 TEMPERATURES = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
 
 
@@ -114,20 +119,22 @@ def training_samples(docs: DataFrame, documents: int = TRAIN_DOCS) -> DataFrame:
     """``label, tokens, held``: lines of the corpus as unknown, and the templates among such lines."""
     share = min(1.0, documents / max(1, docs.count()))
     chosen = docs.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    names = "license|licence|licensed|licenced|copyright|permission|redistribution|public domain|creative commons"
-    plain = windows(chosen).filter(~F.array_join("tokens", " ").rlike(names)).select("tokens")
+    likeness = F.greatest(*[_overlap(grams(F.col("tokens")), t) for ts in TEMPLATES.values() for t in ts])
+    plain = windows(chosen).filter(likeness < UNLIKE).select("tokens")
     some = plain.withColumn("h", F.xxhash64(F.array_join("tokens", " "))).orderBy("h").limit(3 * documents)
     at = F.pmod("h", F.size(_notices())).cast("int")
     noticed = some.withColumn("n", F.get(_notices(), at)).withColumn("form", F.pmod(F.shiftright("h", 8), F.lit(6)))
     size = F.size("n.notice")
-    # whole, without the first or last words, behind a line, before a line, within a line
+    room = F.greatest(WINDOW - size, F.lit(0))
+    before = F.pmod(F.shiftright("h", 24), room + 1).cast("int")
+    # whole, without the first or last words, behind other words, before them, among them
     forms = [
         F.col("n.notice"),
         F.slice("n.notice", 2, size),
         F.slice("n.notice", 1, F.greatest(size - 2, F.lit(3))),
-        F.concat(F.slice("tokens", 1, 10), "n.notice"),
-        F.concat(F.col("n.notice"), F.slice("tokens", 1, 10)),
-        F.concat(F.slice("tokens", 1, 8), F.col("n.notice"), F.slice("tokens", 9, 8)),
+        F.concat(F.slice("tokens", 1, room), "n.notice"),
+        F.concat(F.col("n.notice"), F.slice("tokens", 1, room)),
+        F.concat(F.slice("tokens", 1, before), F.col("n.notice"), F.slice("tokens", before + 1, room - before)),
     ]
     chosen_form = reduce(lambda rest, i: F.when(F.col("form") == i, forms[i]).otherwise(rest), range(1, len(forms)), forms[0])
     held = (F.pmod(F.shiftright("h", 16), F.lit(4)) == 0).alias("held")
@@ -146,7 +153,11 @@ class LicenseModel:
     def probabilities(self, frame: DataFrame) -> DataFrame:
         """Adds array column ``p``, a calibrated probability per family."""
         raw = self.regression.transform(_vectors(frame))
-        scaled = F.transform(vector_to_array("rawPrediction"), lambda x: x / self.temperature)
+        # half of the training samples bear a notice, so the odds of the unknown class are put right
+        odds = F.lit(math.log((1 - NOTICES) / NOTICES))
+        scaled = F.transform(
+            vector_to_array("rawPrediction"), lambda x, i: x / self.temperature + F.when(i == 0, odds).otherwise(0.0)
+        )
         exp = let(scaled, lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top))))
         p = let(exp, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y)))
         return raw.withColumn("p", p).drop("grams", "features", "rawPrediction", "probability", "prediction")
@@ -176,13 +187,17 @@ def train(docs: DataFrame) -> LicenseModel:
     return LicenseModel(regression, min(measured)[1] if measured else 1.0)
 
 
+def _overlap(tokens: Column, template: str) -> Column:
+    """Share of the template's words and word pairs that the window has."""
+    wanted = grams(words(F.lit(template)))
+    return F.size(F.array_intersect(tokens, wanted)) / F.size(wanted)
+
+
 def template_overlap(tokens: Column, family: Column) -> Column:
     """Largest share of a template's words and word pairs that the window has."""
     per_family = []
     for name, notices in sorted(TEMPLATES.items()):
-        shares = [
-            F.size(F.array_intersect(tokens, grams(words(F.lit(n))))) / F.size(grams(words(F.lit(n)))) for n in notices
-        ]
+        shares = [_overlap(tokens, n) for n in notices]
         per_family.append((name, F.greatest(*shares) if len(shares) > 1 else shares[0]))
     return reduce(lambda rest, x: F.when(family == x[0], x[1]).otherwise(rest), per_family, F.lit(0.0))
 
@@ -194,15 +209,15 @@ def license_notices(docs: DataFrame, model: LicenseModel | None = None, doc_id:
     cut = windows(texts)
     judged = model.probabilities(cut)
     best = let(
-        F.col("p"),
-        lambda p: let(F.array_max(p), lambda m: F.struct(m.alias("probability"), (F.array_position(p, m) - 1).cast("int").alias("at"))),
+        F.slice("p", 2, len(FAMILIES) - 1),
+        lambda p: let(F.array_max(p), lambda m: F.struct(m.alias("probability"), F.array_position(p, m).cast("int").alias("at"))),
     )
     names = F.array(*[F.lit(f) for f in FAMILIES])
     named = judged.select("doc_id", "paragraph", "first_word", "tokens", best.alias("best")).select(
         "doc_id", "paragraph", "first_word", "tokens", F.col("best.probability").alias("probability"),
         F.get(names, F.col("best.at")).alias("family"),
     )
-    found = named.filter((F.col("family") != "unknown") & (F.col("probability") >= LEAST))
+    found = named.filter(F.col("probability") >= LEAST)
     measured = found.withColumn("overlap", template_overlap(grams(F.col("tokens")), F.col("family")))
     return measured.select(
         "doc_id", "paragraph", "first_word", "family", "probability", "overlap", (F.col("overlap") >= OVERLAP).alias("confirmed")
