@@ -69,31 +69,54 @@ CHECKED_SPECS = [
 ]
 
 
-@query("""
-SELECT 0 AS position, 'bar' AS type, 'ok' AS title, count(DISTINCT o_orderstatus) AS "rows", false AS failed FROM orders
-UNION ALL SELECT 1, 'bar', 'same', 0, true
-UNION ALL SELECT 2, 'line', 'unknown', 0, true
-UNION ALL SELECT 3, 'pie', 'ok', count(DISTINCT o_orderpriority), false FROM orders
-UNION ALL SELECT 4, 'scatter', 'text', 0, true
-UNION ALL SELECT 5, 'histogram', 'empty', 0, true
-UNION ALL SELECT 6, 'radar', 'kind', 0, true
-""")
+NO_DATA = "CAST(NULL AS VARCHAR) AS label, CAST(NULL AS DOUBLE) AS number"
+
+
+def _failed(position: int, kind: str, title: str) -> str:
+    return f"SELECT {position} AS position, '{kind}' AS type, '{title}' AS title, {NO_DATA}, true AS failed"
+
+
+def _data(position: int, kind: str, title: str, label: str, number: str, source: str) -> str:
+    return (
+        f"SELECT {position} AS position, '{kind}' AS type, '{title}' AS title, CAST({label} AS VARCHAR) AS label, "
+        f"CAST({number} AS DOUBLE) AS number, false AS failed FROM {source}"
+    )
+
+
+def _binned(column: str) -> str:
+    """Labels and counts of the ten bins."""
+    bins = histogram_sql("", "orders", column).replace("round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi", "lo, hi")
+    return f"(SELECT printf('%.2f-%.2f', lo, hi) AS label, count FROM ({bins}))"
+
+
+def _chart_rows(position: int, result: dict):
+    """The data of a chart as (label, number), whatever its kind."""
+    names = {"pie": ("name", "value"), "scatter": ("x", "y"), "histogram": ("bin", "count")}
+    label, number = (F.col(n) for n in names.get(result["type"], ("label", "value")))
+    label = label.cast("bigint") if result["type"] == "scatter" else label
+    return result["data"].select(
+        F.lit(position).alias("position"), F.lit(result["type"]).alias("type"), F.lit(result["title"]).alias("title"),
+        label.cast("string").alias("label"), F.round(number.cast("double"), 2).alias("number"), F.lit(False).alias("failed"),
+    )
+
+
+@query(" UNION ALL ".join([
+    _data(0, "bar", "ok", "o_orderstatus", "round(sum(o_totalprice), 2)", "orders GROUP BY o_orderstatus"),
+    _failed(1, "bar", "same"),
+    _failed(2, "line", "unknown"),
+    _data(3, "pie", "ok", "o_orderpriority", "count(*)", "orders GROUP BY o_orderpriority"),
+    _failed(4, "scatter", "text"),
+    _failed(5, "histogram", "empty"),
+    _failed(6, "radar", "kind"),
+]))
 def all_charts_with_failures(spark, sf_dir):
+    """Every value of the charts; a chart that failed is a row without one."""
     orders = table(spark, sf_dir, "orders").withColumn("o_nothing", F.lit(None).cast("double"))
-    rows = []
-    for position, result in enumerate(all_charts(orders, CHECKED_SPECS)):
-        failed = "error" in result
-        data = orders.limit(0) if failed else result["data"]
-        rows.append(
-            data.agg(
-                F.lit(position).alias("position"),
-                F.lit(result["type"]).alias("type"),
-                F.lit(result["title"]).alias("title"),
-                F.count(F.lit(1)).alias("rows"),
-                F.lit(failed).alias("failed"),
-            )
-        )
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    results = list(enumerate(all_charts(orders, CHECKED_SPECS)))
+    failed = [(i, r["type"], r["title"], None, None, True) for i, r in results if "error" in r]
+    schema = "position int, type string, title string, label string, number double, failed boolean"
+    rows = [_chart_rows(i, r) for i, r in results if "error" not in r]
+    return reduce(lambda a, b: a.unionByName(b), rows, spark.createDataFrame(failed, schema))
 
 
 def _histogram_rows(column: str) -> str:
@@ -151,25 +174,20 @@ def chart_recommendation(spark, sf_dir):
     return dashboard.chart_specs(table(spark, sf_dir, "orders"))
 
 
-@query("""
-SELECT 0 AS position, 'bar' AS type, count(DISTINCT o_orderstatus) AS "rows" FROM orders
-UNION ALL SELECT 1, 'bar', count(DISTINCT o_orderstatus) FROM orders
-UNION ALL SELECT 2, 'line', count(DISTINCT o_orderdate) FROM orders
-UNION ALL SELECT 3, 'scatter', count(*) FROM orders
-UNION ALL SELECT 4, 'histogram', 10
-UNION ALL SELECT 5, 'histogram', 10
-UNION ALL SELECT 6, 'pie', count(DISTINCT o_orderstatus) FROM orders
-UNION ALL SELECT 7, 'pie', count(DISTINCT o_orderpriority) FROM orders
-""")
+RECOMMENDED = [
+    _data(0, "bar", "o_orderkey by o_orderstatus", "o_orderstatus", "sum(o_orderkey)", "orders GROUP BY o_orderstatus"),
+    _data(1, "bar", "o_custkey by o_orderstatus", "o_orderstatus", "sum(o_custkey)", "orders GROUP BY o_orderstatus"),
+    _data(2, "line", "o_orderkey over o_orderdate", "o_orderdate", "sum(o_orderkey)", "orders GROUP BY o_orderdate"),
+    _data(3, "scatter", "o_orderkey and o_custkey", "o_orderkey", "o_custkey", "orders"),
+    _data(4, "histogram", "Distribution of o_orderkey", "label", "count", _binned("o_orderkey")),
+    _data(5, "histogram", "Distribution of o_custkey", "label", "count", _binned("o_custkey")),
+    _data(6, "pie", "Share of o_orderstatus", "o_orderstatus", "count(*)", "orders GROUP BY o_orderstatus"),
+    _data(7, "pie", "Share of o_orderpriority", "o_orderpriority", "count(*)", "orders GROUP BY o_orderpriority"),
+]
+
+
+@query(" UNION ALL ".join(RECOMMENDED))
 def recommended_dashboard(spark, sf_dir):
-    """Size of the data behind every recommended chart."""
-    orders = table(spark, sf_dir, "orders")
-    rows = [
-        result["data"].agg(
-            F.lit(position).alias("position"),
-            F.lit(result["type"]).alias("type"),
-            F.count(F.lit(1)).alias("rows"),
-        )
-        for position, result in enumerate(dashboard.recommended_dashboard(orders))
-    ]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    """Every value of the recommended charts."""
+    charts = dashboard.recommended_dashboard(table(spark, sf_dir, "orders"))
+    return reduce(lambda a, b: a.unionByName(b), [_chart_rows(i, r) for i, r in enumerate(charts)])
