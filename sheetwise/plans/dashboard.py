@@ -7,6 +7,7 @@ from itertools import combinations, zip_longest
 
 from pyspark.sql import DataFrame
 
+from sheetwise.functions.columns import data_fields
 from sheetwise.operators.charts import all_charts
 from sheetwise.operators.schema import classify
 from sheetwise.operators.stats import correlation, distinct_labels, timeline, value_counts
@@ -79,12 +80,24 @@ def recommend_charts(df: DataFrame) -> list[dict]:
         for c in texts
         if 0 < totals[c] <= PIE_LABELS and not IDENTIFIER.search(c)
     ]
-    counts = [_spec("bar", f"Rows by {c}", x=c, y=c, aggregation="count") for c in usable]
-    # the best of each kind first, then the other columns and pairs in turn
+    columns = [f.name for f in data_fields(df)]
+    others = {c: next((o for o in columns if o != c), None) for c in usable}
+    counts = [_spec("bar", f"{o} counted by {c}", x=c, y=o, aggregation="count") for c, o in others.items() if o]
+    # the best of each kind first, then columns that no chart has yet, then other pairs in turn
     specs = [*bars[:2], *lines[:1], *scatters[:1], *histograms[:2], *pies]
-    rest = [bars[2:], lines[1:], scatters[1:], histograms[2:], counts]
-    specs += [spec for turn in zip_longest(*rest) for spec in turn if spec]
-    return specs[:MAX_CHARTS]
+    kinds = [bars[2:], lines[1:], scatters[1:], histograms[2:], counts]
+    rest = [spec for turn in zip_longest(*kinds) for spec in turn if spec]
+    used = {name for spec in specs for name in _columns(spec)}
+    fresh = []
+    for spec in rest:
+        if not used.issuperset(_columns(spec)):
+            fresh.append(spec)
+            used.update(_columns(spec))
+    return [*specs, *fresh, *[spec for spec in rest if spec not in fresh]][:MAX_CHARTS]
+
+
+def _columns(spec: dict) -> set[str]:
+    return {spec[role] for role in ("x", "y", "column") if role in spec}
 
 
 def _spec(kind: str, title: str, **roles: str) -> dict:

@@ -113,3 +113,18 @@ def test_no_python_in_plans(spark, plan_of):
         plan = plan_of(part)
         assert "BatchEvalPython" not in plan and "InPandas" not in plan and "ArrowEval" not in plan
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_recommendations_use_all_columns(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, f"t{i}") for i in range(20)], "a double, b double, c double, d double, s string")
+    specs = dashboard.recommend_charts(df)
+    assert len(specs) == dashboard.MAX_CHARTS
+    used = {name for s in specs for name in (s.get("x"), s.get("y"), s.get("column")) if name}
+    assert used == {"a", "b", "c", "d", "s"}
+
+
+def test_text_only_table_gets_charts(spark):
+    df = spark.createDataFrame([("x", "y")], "s string, t string")
+    specs = dashboard.recommend_charts(df)
+    assert 2 <= len(specs) <= 8
+    assert all("error" not in r for r in dashboard.recommended_dashboard(df))

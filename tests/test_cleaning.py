@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
+from sheetwise.functions.columns import ROW_ID
 from sheetwise.operators import cleaning
 from sheetwise.plans import cleaning_run
 from sheetwise.session import scratch_path
@@ -115,3 +117,13 @@ def test_run_writes_a_clean_copy(spark, suffix):
 def test_clean_path():
     assert clean_path("/data/up/a.b.csv") == "/data/up/a.b_clean.csv"
     assert clean_path("s3a://bucket/x.parquet/") == "s3a://bucket/x_clean.parquet"
+
+
+def test_first_of_equal_rows_is_kept(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(0, 4000, 1, 4).selectExpr("id % 10 AS a", "'x' AS s", "if(id % 2 = 0, double('NaN'), null) AS f").write.parquet(path)
+    rows = read_table(spark, path, row_id=True)
+    kept = cleaning.remove_duplicates(rows)
+    first = rows.groupBy("a").agg(F.min(ROW_ID).alias("first"))
+    assert kept.columns == rows.columns and kept.count() == 10
+    assert kept.join(first, "a").filter(F.col(ROW_ID) != F.col("first")).isEmpty()

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -274,3 +276,45 @@ def test_timeline(spark):
     assert [(str(r["label"]), r["value"]) for r in stats.timeline(df, "t").collect()] == [
         ("2024-01-02 00:00:00", 2)
     ]
+
+
+# --- plans and edges of this round -------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [8, 40, 100])
+def test_correlation_reads_the_table_once_after_the_means(spark, monkeypatch, n):
+    """Whatever the number of columns and gaps, one scan gives the sums of all pairs."""
+    rng = random.Random(n)
+    rows = [[rng.gauss(0, 1) if rng.random() > 0.2 else None for _ in range(n)] for _ in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(n)))
+    scans = []
+    read = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **b: scans.append(1) or read(self, *a, **b))
+    found = {(r["col_a"], r["col_b"]): r["corr"] for r in stats.correlation(df).collect()}
+    assert len(scans) == 1 and len(found) == n * n
+    wanted = pd.DataFrame(rows, columns=[f"c{i}" for i in range(n)], dtype=float).corr()
+    assert all(abs(found[a, b] - wanted.loc[a, b]) < 1e-9 for a in wanted for b in wanted)
+
+
+def test_pair_that_is_constant_where_both_are_present(spark):
+    rows = [(5.0, 1.0), (5.0, 2.0), (5.0, 3.0), (7.5, None), (9.25, None)]
+    found = {(r["col_a"], r["col_b"]): r["corr"] for r in stats.correlation(spark.createDataFrame(rows, "a double, b double")).collect()}
+    assert found == {("a", "a"): 1.0, ("b", "b"): 1.0, ("a", "b"): None, ("b", "a"): None}
+
+
+def test_hot_bucket_is_dealt_out_after_the_join(spark, monkeypatch, plan_of):
+    """With many wanted buckets, an exchange stands between the join and the count per part."""
+    monkeypatch.setattr(quantiles, "BROADCAST_BYTES", 0)
+    rows = spark.range(4000).select(F.when(F.col("id") < 1600, 0).otherwise(F.col("id")).alias("k"), (F.col("id") * 7919 % 4001 / 10 + 1000).alias("v"))
+    found = quantiles.grouped_quantiles(rows, ["k"], [0.5])
+    plan = plan_of(found)
+    assert "REPARTITION_BY_COL" in plan and "Join" in plan
+    values = {r["k"]: r["q0"] for r in found.collect()}
+    value = lambda i: i * 7919 % 4001 / 10 + 1000
+    assert abs(values[0] - np.median([value(i) for i in range(1600)])) < 1e-9 and values[2000] == value(2000)
+
+
+@pytest.mark.parametrize("values", [[-1.7e308, 1.7e308], [0.0, 5e-324]])
+def test_range_that_cannot_be_cut_raises(spark, values):
+    with pytest.raises(Exception, match="cannot be cut into bins"):
+        histogram(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()
