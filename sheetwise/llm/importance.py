@@ -24,9 +24,6 @@ Defined results:
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,50 +40,68 @@ PSEUDO, LEAST = 2.0, 1.5
 SHARPNESS = 4.0
 SEED = 11
 PREFIXES = (4, 5, 6, 7)
-WORDS_KEPT = 250_000
 FEATURES = ("against", "against_share", "mean", "worst", "length")
 
-_TOKEN = re.compile(r"\w+|[^\w\s]+")
-_words: dict[str, tuple[bytes, bytes]] = {}
-
-
-def _hashes(word: str) -> tuple[bytes, bytes]:
-    """Hashes of a word's tokens, and of the beginnings of its tokens and their shape."""
-    tokens, parts = [], []
-    for token in _TOKEN.findall(word):
-        low = token.lower()
-        tokens.append(zlib.crc32(low.encode()))
-        if len(token) > 1 and token.isupper():
-            parts.append(1)
-        parts += [zlib.crc32(f"^{low[:n]}".encode()) for n in PREFIXES if len(low) > n]
-    return np.array(tokens, "<u4").tobytes(), np.array(parts, "<u4").tobytes()
-
-
-def grams(text: str | None) -> np.ndarray:
-    """Buckets of all n-grams of the text."""
-    if len(_words) > WORDS_KEPT:
-        _words.clear()
-    found = []
-    for word in (text or "").split():
-        known = _words.get(word)
-        if known is None:
-            known = _words[word] = _hashes(word)
-        found.append(known)
-    tokens = np.frombuffer(b"".join([f[0] for f in found]), "<u4").astype(np.uint64)
-    parts = np.frombuffer(b"".join([f[1] for f in found]), "<u4").astype(np.uint64)
-    pairs = tokens[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:]
-    mixed = np.concatenate([tokens, parts, pairs]) * np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(64 - BUCKETS_LOG)).astype(np.int64)
+#: Bytes of texts that are hashed at once.
+PIECE_BYTES = 1 << 20
+ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+BACK = np.uint64(pow(int(ODD), -1, 1 << 64))
+#: What a byte is: 0 blank, 1 part of a word, 2 punctuation; bytes beyond ASCII are taken for letters.
+KIND = np.array([0 if chr(b).isspace() else 1 if b > 127 or chr(b).isalnum() or b == 95 else 2 for b in range(256)], np.uint8)
+UPPER = np.array([65 <= b <= 90 for b in range(256)])
+BYTE_HASH = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
+BYTE_HASH[UPPER] = BYTE_HASH[np.flatnonzero(UPPER) + 32]  # case does not count
+
+
+class Grams:
+    """N-grams of some texts: groups of buckets, each with the text that a bucket belongs to."""
+
+    def __init__(self, texts: list[str]):
+        parts = [t.encode() + b"\n" for t in texts]
+        codes = np.frombuffer(b"".join(parts), np.uint8)
+        ends_of = np.cumsum([len(p) for p in parts])
+        kind = KIND[codes]
+        bounds = np.r_[0, np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(codes)]
+        word = kind[bounds[:-1]]
+        start, end, word = bounds[:-1][word > 0], bounds[1:][word > 0], word[word > 0]
+        power = np.cumprod(np.r_[np.uint64(1), np.full(len(codes), ODD)])
+        back = np.cumprod(np.r_[np.uint64(1), np.full(len(codes), BACK)])
+        sums = np.r_[np.uint64(0), np.cumsum(BYTE_HASH[codes] * power[:-1])]
+        upper = np.r_[0, np.cumsum(UPPER[codes])]
+        owner = np.searchsorted(ends_of, start, "right")
+        first, shift = sums[start], back[start]
+        tokens = (sums[end] - first) * shift
+        length = end - start
+        self.groups = [(tokens, owner)]
+        for n in PREFIXES:
+            long = np.flatnonzero((length > n) & (word == 1))
+            self.groups.append((((sums[start[long] + n] - first[long]) * shift[long]) ^ np.uint64(n), owner[long]))
+        capital = np.flatnonzero((upper[end] - upper[start] == length) & (length > 1))
+        self.groups.append((np.full(len(capital), 1, np.uint64), owner[capital]))
+        near = np.flatnonzero(owner[1:] == owner[:-1])
+        self.groups.append((tokens[near] * ODD + tokens[near + 1], owner[near]))
+        self.groups = [(((h ^ (h >> np.uint64(29))) * MIX >> np.uint64(64 - BUCKETS_LOG)).astype(np.int64), o) for h, o in self.groups]
+
+
+def pieces(texts: list[str | None]):
+    """Parts of a list of texts, of about ``PIECE_BYTES`` each, and where each begins."""
+    begin = size = 0
+    for at, text in enumerate(texts):
+        size += len(text or "")
+        if size >= PIECE_BYTES or at == len(texts) - 1:
+            yield begin, [t or "" for t in texts[begin : at + 1]]
+            begin, size = at + 1, 0
 
 
 def _count(batches):
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for text, good in zip(batch.column("text"), batch.column("target").to_pylist(), strict=True):
-            found = np.bincount(grams(text.as_py()), minlength=BUCKETS)
-            raw += found
-            if good:
-                target += found
+        good = batch.column("target").to_numpy(zero_copy_only=False)
+        for begin, texts in pieces(batch.column("text").to_pylist()):
+            wanted = good[begin : begin + len(texts)]
+            for buckets, owner in Grams(texts).groups:
+                raw += np.bincount(buckets, minlength=BUCKETS)
+                target += np.bincount(buckets[wanted[owner]], minlength=BUCKETS)
     seen = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], names=["bucket", "raw", "target"])
 
@@ -96,16 +111,25 @@ def bucket_weights(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log((target + PSEUDO) / (expected + PSEUDO))
 
 
-def evidence(text: str | None, weights: np.ndarray) -> tuple[float, ...]:
-    """What the bucket weights say about a document, as named in ``FEATURES``."""
-    found = weights[grams(text)]
-    if not len(found):
-        return (0.0,) * len(FEATURES)
-    against = float(found[found < -LEAST].sum())
-    worst = float(np.partition(found, 1)[:2].sum()) if len(found) > 1 else float(found[0])
-    return (
-        float(np.log1p(-against)), against / (len(found) + 10), float(found.mean()), worst, float(np.log1p(len(found)))
-    )
+def evidence(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
+    """What the bucket weights say about each text, as named in ``FEATURES``."""
+    rows = np.zeros((len(texts), len(FEATURES)))
+    for begin, part in pieces(texts):
+        size = len(part)
+        against, total, count, worst = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(size)
+        for buckets, owner in Grams(part).groups:
+            if not len(buckets):
+                continue
+            found = weights[buckets]
+            heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            of = owner[heads]
+            total[of] += np.add.reduceat(found, heads, dtype=np.float64)
+            count[of] += np.diff(np.r_[heads, len(found)])
+            worst[of] = np.minimum(worst[of], np.minimum.reduceat(found, heads))
+            against[of] += np.add.reduceat(np.where(found < -LEAST, found, 0), heads, dtype=np.float64)
+        values = [np.log1p(-against), against / (count + 10), total / np.maximum(count, 1), worst, np.log1p(count)]
+        rows[begin : begin + size] = np.stack(values, axis=1)
+    return rows
 
 
 def calibrate(features: np.ndarray, target: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -146,13 +170,13 @@ def _evidence_of(weights: np.ndarray, fitted: np.ndarray | None = None):
         kind = T.StructType([T.StructField(f, T.DoubleType()) for f in FEATURES])
 
         def features(texts: pa.Array) -> pa.Array:
-            rows = np.array([evidence(t.as_py(), weights) for t in texts]).reshape(len(texts), len(FEATURES))
+            rows = evidence(texts.to_pylist(), weights)
             return pa.StructArray.from_arrays([pa.array(c) for c in rows.T], names=FEATURES)
 
         return F.arrow_udf(features, kind)
 
     def log_weight(texts: pa.Array) -> pa.Array:
-        rows = np.array([evidence(t.as_py(), weights) for t in texts]).reshape(len(texts), len(FEATURES))
+        rows = evidence(texts.to_pylist(), weights)
         odds = np.clip(rows @ fitted[:-1] + fitted[-1], -30, 30)
         return pa.array(-np.log1p(np.exp(-odds)), pa.float64())
 
