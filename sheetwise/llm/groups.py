@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 
@@ -13,7 +15,7 @@ def runs(batches, keys: list[str]):
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
         ends = _ends(held, keys)
-        for start, end in zip([0, *ends[:-1]], ends, strict=True):
+        for start, end in itertools.pairwise([0, *ends]):
             yield held.slice(start, end - start)
         held = held.slice(ends[-1] if ends else 0)
     if held is not None and held.num_rows:
@@ -28,7 +30,7 @@ def _ends(table: pa.Table, keys: list[str]) -> list[int]:
     for key in keys:
         codes = table.column(key).combine_chunks().dictionary_encode()
         codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
-        changed |= np.diff(codes.indices.to_numpy(zero_copy_only=False)) != 0
+        changed |= np.diff(codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)) != 0
     return (np.flatnonzero(changed) + 1).tolist()
 
 
