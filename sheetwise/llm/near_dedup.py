@@ -5,8 +5,10 @@
    each.
 2. Trees: a node branches its members by the values of a few of their minwise tokens; which tokens
    a node selects depends on the node alone, one and a further one as often as keeps the expected
-   number of paths of two similar sets from shrinking (1 / similarity per level). A node of at most
-   ``LEAF`` members, or one at ``DEPTH`` levels, is a leaf. ``TREES`` independent trees raise recall.
+   number of paths of two similar sets from shrinking (1 / similarity per level). A node is a leaf if
+   it has at most ``LEAF`` members, if it is dense (it still has more than the share ``DENSE`` of its
+   parent's members, so branching does not part them), or at ``DEPTH`` levels. ``TREES`` independent
+   trees raise recall.
 3. The members of a leaf are compared with each other by their sketches; large leaves in pairs of
    blocks. Pairs whose sketches agree as similar sets' do are candidates; a leaf reports a chain
    through each of its connected groups instead of all pairs. Connected candidates form clusters.
@@ -48,6 +50,7 @@ TOKENS = 128
 TREES = 10
 DEPTH = 4
 LEAF = 128
+DENSE = 0.5
 #: Members of a leaf that are compared at once, beyond which pairs of blocks are.
 LEAF_BLOCK = 2048
 #: Classes and shingles of a block that is compared on full sets.
@@ -137,14 +140,18 @@ def _children(similarity: float, roots: bool):
             if not batch.num_rows:
                 continue
             tokens = _matrix(batch.column("tokens"), np.uint32).astype(np.uint64)
+            parents = batch.column("members")
             if roots:
                 starts = [mix(np.full(len(tokens), t)) for t in range(TREES)]
             else:
                 starts = [batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)]
             for nodes in starts:
                 at, child = branches(nodes, tokens, similarity)
-                digests = batch.column("digest").take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), digests], names=["node", "digest"])
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(child.view(np.int64)), batch.column("digest").take(at), parents.take(at)],
+                    names=["node", "digest", "of"],
+                )
 
     return grow
 
@@ -176,17 +183,19 @@ def _compare_leaves(least: int):
 def _leaves(classes: DataFrame, similarity: float) -> DataFrame:
     """``(node, members, digest)`` of all leaves with two members or more."""
     found, nodes = None, None
+    total = classes.count()
     for depth in range(1, DEPTH + 1):
-        source = classes.select("digest", "tokens")
+        source = classes.select("digest", "tokens", F.lit(total).cast("bigint").alias("members"))
         if nodes is not None:
-            source = nodes.select("node", "digest").join(source, "digest")
-        grown = source.mapInArrow(_children(similarity, nodes is None), "node bigint, digest binary")
-        sizes = grown.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-        sized = stored(grown.join(sizes, "node"), f"nodes_{depth}")
-        ends = sized if depth == DEPTH else sized.filter(F.col("members") <= LEAF)
+            source = nodes.select("node", "digest", "members").join(source.drop("members"), "digest")
+        grown = source.mapInArrow(_children(similarity, nodes is None), "node bigint, digest binary, of bigint")
+        sizes = grown.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.max("of").alias("of")).filter("members > 1")
+        sized = stored(grown.drop("of").join(sizes, "node"), f"nodes_{depth}")
+        leaf = (F.col("members") <= LEAF) | (F.col("members") > DENSE * F.col("of")) | F.lit(depth == DEPTH)
+        ends = sized.filter(leaf).drop("of")
         found = ends if found is None else found.unionByName(ends)
-        nodes = sized.filter(F.col("members") > LEAF)
-        if depth < DEPTH and nodes.isEmpty():
+        nodes = sized.filter(~leaf)
+        if nodes.isEmpty():
             break
     return found
 
@@ -334,7 +343,8 @@ def near_duplicates(
     roots = components(confirmed_links(members, percent)).withColumnRenamed("node", "digest")
     rooted = stored(classes.select("digest", "best").join(roots, "digest", "left"), "rooted")
     bests = rooted.filter("root is not null").groupBy("root").agg(F.min("best").alias("of_all"))
-    named = rooted.join(bests, "root", "left").select("digest", F.coalesce("of_all", "best").alias("best"))
+    linked = rooted.filter("root is not null").join(bests, "root").select("digest", F.col("of_all").alias("best"))
+    named = linked.unionByName(rooted.filter("root is null").select("digest", "best"))
     alone = F.col("n_shingles") == 0
     return signed.join(named, "digest", "left").select(
         "row", "doc_id", "n_shingles",
