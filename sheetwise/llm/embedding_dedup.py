@@ -240,8 +240,9 @@ def similar_vectors(
         classes.select("class", "vectors", "least").join(roots, "class", "left").join(counts, "class", "left"), "rooted"
     )
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("least").alias("of_all"))
-    named = rooted.join(least, "root", "left").select(
-        "class", (F.coalesce("n", F.lit(0)) + F.col("vectors") - 1).alias("n"), F.coalesce("of_all", "least").alias("least")
+    linked = rooted.filter("root is not null").join(least, "root").withColumn("least", F.col("of_all")).drop("of_all")
+    named = linked.unionByName(rooted.filter("root is null"), allowMissingColumns=True).select(
+        "class", (F.coalesce("n", F.lit(0)) + F.col("vectors") - 1).alias("n"), "least"
     )
     result = keyed.select("vec_id", "class").join(named, "class", "left").select(
         "vec_id",
