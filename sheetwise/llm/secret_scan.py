@@ -268,9 +268,12 @@ def _at_least(length: int):
     return lambda value: F.length(value) >= length
 
 
-def secret_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def secret_report(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weights: list[float] | None = None
+) -> DataFrame:
     """Per document: numbers of base spans, their digest, and all spans."""
-    found = secret_spans(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), found="secrets")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = secret_spans(texts, found="secrets", weights=weights)
 
     def report(s: Column) -> Column:
         counts = [
@@ -305,11 +308,11 @@ def redacted(text: Column, spans: Column, mark: str) -> Column:
     )
 
 
-def secret_stage(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def secret_stage(docs: DataFrame, mark: str = "[secret]", weights: list[float] | None = None) -> DataFrame:
     """Documents with all secrets replaced by a mark, ``n_chars`` of those counted anew."""
     name, new = free_name(docs, "secrets"), free_name(docs, "redacted")
     spans = F.col(f"{name}.spans")
-    marked = secret_spans(docs, found=name).withColumn(new, F.when(F.size(spans) > 0, redacted(F.col("text"), spans, mark)))
+    marked = secret_spans(docs, found=name, weights=weights).withColumn(new, F.when(F.size(spans) > 0, redacted(F.col("text"), spans, mark)))
     length = F.coalesce(F.length(new), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     values = {"text": F.coalesce(new, "text"), "n_chars": length}
     return marked.select(*[values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns])
