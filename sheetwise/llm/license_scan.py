@@ -21,7 +21,9 @@ Defined results:
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -77,7 +79,7 @@ TEMPLATES = {
 FAMILIES = ["unknown", *sorted(TEMPLATES)]
 TRAIN_DOCS = 3000
 WINDOW, STEP = 40, 24
-FEATURES_LOG = 16
+FEATURES_LOG = 13
 LEAST, OVERLAP = 0.1, 0.75
 #: Share of windows that bear a notice.
 NOTICES = 0.05
@@ -112,15 +114,24 @@ def windows(docs: DataFrame) -> DataFrame:
 def _notices() -> Column:
     """All templates as an array of (family number, tokens)."""
     rows = [(FAMILIES.index(f), t) for f, ts in sorted(TEMPLATES.items()) for t in ts]
-    return F.array(*[F.struct(F.lit(i).alias("label"), words(F.lit(t)).alias("notice")) for i, t in rows])
+    return F.array(*[F.struct(F.lit(i).alias("label"), _literal(template_words(t)).alias("notice")) for i, t in rows])
+
+
+def template_words(template: str) -> list[str]:
+    """The words of a template; a literal, so that it is not split again for every row."""
+    return re.findall("[a-z0-9]+", template.lower())
+
+
+def _literal(texts: list[str]) -> Column:
+    return F.array(*[F.lit(t) for t in texts])
 
 
 def training_samples(docs: DataFrame, documents: int = TRAIN_DOCS) -> DataFrame:
     """``label, tokens, held``: lines of the corpus as unknown, and the templates among such lines."""
     share = min(1.0, documents / max(1, docs.count()))
     chosen = docs.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    likeness = F.greatest(*[_overlap(grams(F.col("tokens")), t) for ts in TEMPLATES.values() for t in ts])
-    plain = windows(chosen).filter(likeness < UNLIKE).select("tokens")
+    likeness = F.greatest(*[_overlap(F.col("g"), t) for ts in TEMPLATES.values() for t in ts])
+    plain = windows(chosen).withColumn("g", grams(F.col("tokens"))).filter(likeness < UNLIKE).select("tokens")
     some = plain.withColumn("h", F.xxhash64(F.array_join("tokens", " "))).orderBy("h").limit(3 * documents)
     at = F.pmod("h", F.size(_notices())).cast("int")
     noticed = some.withColumn("n", F.get(_notices(), at)).withColumn("form", F.pmod(F.shiftright("h", 8), F.lit(6)))
@@ -172,7 +183,7 @@ def train(docs: DataFrame) -> LicenseModel:
     """Fit on three quarters of the samples, calibrate on the rest."""
     samples = stored(training_samples(docs), "license_samples")
     fit = _vectors(samples.filter("not held")).select("label", "features")
-    regression = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=60).fit(fit)
+    regression = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=40).fit(fit)
     held = regression.transform(_vectors(samples.filter("held"))).select(
         F.col("label").cast("int").alias("label"), vector_to_array("rawPrediction").alias("raw")
     )
@@ -189,8 +200,9 @@ def train(docs: DataFrame) -> LicenseModel:
 
 def _overlap(tokens: Column, template: str) -> Column:
     """Share of the template's words and word pairs that the window has."""
-    wanted = grams(words(F.lit(template)))
-    return F.size(F.array_intersect(tokens, wanted)) / F.size(wanted)
+    found = template_words(template)
+    wanted = list(dict.fromkeys([*found, *[f"{a} {b}" for a, b in itertools.pairwise(found)]]))
+    return F.size(F.array_intersect(tokens, _literal(wanted))) / len(wanted)
 
 
 def template_overlap(tokens: Column, family: Column) -> Column:
