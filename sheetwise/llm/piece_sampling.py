@@ -6,9 +6,9 @@ the weights of all paths to each position, backward sampling walks from the end
 piece by its share. The vocabulary orders pieces by merge rank, so a piece's weight is that of its
 rank under Zipf's law, to the power ``alpha``.
 
-No piece reaches over a line break, or from a word into the blanks behind it, so the lattice falls
-apart into words with the blanks before them. Filtered lattices of words are kept in each task, and
-all words of many texts are sampled together. Random numbers are hashes of the row's seed, the place
+Where two neighbouring bytes stand next to each other in no piece, every path has a break, so the
+lattice falls apart into short parts there ("words" below). Filtered lattices of words are kept in each
+task, and all words of many texts are sampled together. Random numbers are hashes of the row's seed, the place
 of the word and the step, so a row has the same segmentation in every run, whatever its partition.
 
 Lossless: nothing is normalised. One blank is put in front of the text and taken away by decoding. A
@@ -24,8 +24,8 @@ Defined results:
 
 from __future__ import annotations
 
+import itertools
 import math
-import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -36,16 +36,16 @@ from pyspark.sql import types as T
 
 ALPHA = 0.5
 SEED = 23
-WORDS_KEPT = 300_000
+WORDS_KEPT = 350_000
 #: Words that are sampled at once.
 BATCH_WORDS = 200_000
 BLANK = "▁"
 #: Log weight of a byte of a character that has no piece.
 BYTE_WEIGHT = -10.0
 ALL = (1 << 64) - 1
+LAST_SHARE = (1 << 32) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_WORD = re.compile(rb" *[^ \n]+| +|\n")
 _samplers: dict[tuple[str, float], PieceSampler] = {}
 
 
@@ -81,14 +81,17 @@ class Vocabulary:
         self.weights: dict[bytes, float] = {}
         for rank, (_, i, piece) in enumerate(sorted(normal)):
             self.spelled[i] = piece
-            if b"\n" in piece or b" " in piece.lstrip(b" "):
-                continue  # would reach over the end of a word; its parts remain
             self.ids[piece] = i
             self.weights[piece] = -math.log(rank + 1) - zipf
         by_length: dict[int, list[bytes]] = {}
         for piece in self.weights:
             by_length.setdefault(len(piece), []).append(piece)
         self.by_length = {n: self._hashed(pieces) for n, pieces in sorted(by_length.items())}
+        together = np.zeros((256, 256), bool)
+        for piece in self.weights:
+            together[list(piece[:-1]), list(piece[1:])] = True
+        together[:, 0x80:0xC0] = True  # bytes of one character
+        self.apart = ~together.ravel()
         self.byte_table = np.array([self.byte_ids[b] for b in range(256)])
 
     def _hashed(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,6 +102,13 @@ class Vocabulary:
         ids, weights = np.array([self.ids[x] for x in pieces]), np.array([self.weights[x] for x in pieces])
         return hashes[order], ids[order], weights[order]
 
+    def words(self, text: str) -> list[bytes]:
+        """The text with a blank before it, cut where no piece reaches over."""
+        data = b" " + text.encode()
+        codes = np.frombuffer(data, np.uint8)
+        cuts = np.flatnonzero(self.apart[codes[:-1].astype(np.intp) * 256 + codes[1:]]) + 1
+        return [data[a:b] for a, b in itertools.pairwise([0, *cuts.tolist(), len(data)])]
+
     def decode(self, ids: Iterable[int]) -> str:
         table = self.spelled
         return b"".join([table[i] for i in ids])[1:].decode()
@@ -108,8 +118,9 @@ class PieceSampler:
     """Filtered lattices of words in flat arrays.
 
     A node is a position in a word behind its start; its edges are the pieces that end there, each
-    with the node where it starts (-1: the word's start). ``share`` holds node number plus the sum of
-    the probabilities up to the edge, so one search over all edges finds an edge for each draw.
+    with the node where it starts (-1: the word's start). ``share`` holds the node's number in its
+    upper and the sum of probabilities up to the edge in its lower 32 bits, so one search over all
+    edges finds an edge for each draw, whatever else is in the table.
     """
 
     def __init__(self, path: str, alpha: float):
@@ -118,7 +129,7 @@ class PieceSampler:
 
     def _clear(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.share, self.start, self.piece = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.share, self.start, self.piece = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.nodes = 0
 
     def _edges(self, data: np.ndarray, left: np.ndarray, first: np.ndarray):
@@ -142,7 +153,10 @@ class PieceSampler:
             hit = hashes[near] == wanted
             starts, near = at[hit], near[hit]
             found.append((starts, starts + length, ids[near], self.alpha * weights[near]))
-            whole |= (width == length) & np.isin(heads, starts, assume_unique=True) if length <= 4 else False
+            if length <= 4:
+                begun = np.zeros(len(data), bool)
+                begun[starts] = True
+                whole |= (width == length) & begun[heads]
         lost = np.repeat(heads[~whole], width[~whole])
         if len(lost):  # written byte by byte
             widths = width[~whole]
@@ -158,29 +172,35 @@ class PieceSampler:
         left = first + np.repeat(sizes, sizes) - np.arange(len(data))
         start, end, piece, weight = self._edges(data, left, first)
         node = end - 1  # nodes are numbered like bytes
-        depth = node - first[node]
-        order = np.lexsort((start, node, depth))
-        start, node, piece, weight, depth = (c[order] for c in (start, node, piece, weight, depth))
+        order = np.argsort(node, kind="stable")
+        start, node, piece, weight = (c[order] for c in (start, node, piece, weight))
+        depth, begins = node - first[node], start == first[node]
+        by_depth = np.argsort(depth.astype(np.uint16) if depth.max() < 1 << 16 else depth, kind="stable")
+        levels = depth[by_depth]
+        bounds = np.flatnonzero(np.r_[True, levels[1:] != levels[:-1], True])
         filtered = np.zeros(len(data))  # log of the summed weights of all paths to a node
         chance = np.zeros(len(node))
-        begins = start == first[node]
-        bounds = np.flatnonzero(np.r_[True, depth[1:] != depth[:-1], True])
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            value = weight[low:high] + np.where(begins[low:high], 0.0, filtered[start[low:high] - 1])
-            heads = np.flatnonzero(np.r_[True, node[low + 1 : high] != node[low : high - 1]])
+        for low, high in itertools.pairwise(bounds.tolist()):
+            at = by_depth[low:high]
+            value, to = weight[at], node[at]
+            if levels[low]:
+                value = value + np.where(begins[at], 0.0, filtered[start[at] - 1])
+            heads = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
             counts = np.diff(np.r_[heads, high - low])
             top = np.maximum.reduceat(value, heads)
             part = np.exp(value - np.repeat(top, counts))
             whole = np.add.reduceat(part, heads)
-            filtered[node[low + heads]] = top + np.log(whole)
-            chance[low:high] = part / np.repeat(whole, counts)
-        order = np.argsort(node, kind="stable")
-        start, node, piece, chance, begins = (c[order] for c in (start, node, piece, chance, begins))
-        sums = np.cumsum(chance)
+            filtered[to[heads]] = top + np.log(whole)
+            chance[at] = part / np.repeat(whole, counts)
         heads = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        within = sums - np.repeat(sums[heads] - chance[heads], np.diff(np.r_[heads, len(node)]))
-        within[np.r_[heads[1:] - 1, len(node) - 1]] = 1.0
-        self.share = np.concatenate([self.share, self.nodes + node + within])
+        counts = np.diff(np.r_[heads, len(node)])
+        place = np.arange(len(node)) - np.repeat(heads, counts)
+        for k in range(1, int(counts.max())):  # edge by edge, so sums do not depend on other words
+            at = np.flatnonzero(place == k)
+            chance[at] += chance[at - 1]
+        upto = np.minimum((chance * 2.0**32).astype(np.uint64), np.uint64(LAST_SHARE))
+        upto[heads + counts - 1] = LAST_SHARE
+        self.share = np.concatenate([self.share, (self.nodes + node).astype(np.uint64) << np.uint64(32) | upto])
         self.start = np.concatenate([self.start, np.where(begins, -1, self.nodes + start - 1).astype(np.int32)])
         self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
         self.words.update(zip(words, (self.nodes + np.cumsum(sizes) - 1).tolist(), strict=True))
@@ -190,7 +210,7 @@ class PieceSampler:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         found, waiting, words = [], [], 0
         for text, seed in zip(texts, seeds, strict=True):
-            parts = _WORD.findall(b" " + text.encode())
+            parts = self.vocabulary.words(text)
             waiting.append((parts, seed))
             words += len(parts)
             if words >= BATCH_WORDS:
@@ -203,10 +223,10 @@ class PieceSampler:
             return []
         if len(self.words) > WORDS_KEPT:
             self._clear()
-        known = self.words
-        if new := {word for parts, _ in texts for word in parts if word not in known}:
-            self._learn(sorted(new))
-        last = [known[word] for parts, _ in texts for word in parts]
+        if new := set().union(*[parts for parts, _ in texts]).difference(self.words):
+            self._learn(list(new))
+        words = itertools.chain.from_iterable(parts for parts, _ in texts)
+        last = list(map(self.words.__getitem__, words))
         counts = np.array([len(parts) for parts, _ in texts])
         seeds = np.array([seed for _, seed in texts], np.int64).view(np.uint64)
         first = np.cumsum(counts) - counts
@@ -221,8 +241,8 @@ class PieceSampler:
         step = 0
         while len(node):
             step += 1
-            draw = (mix(keys[word] + np.uint64(step * 0xD6E8FEB86659FD93 & ALL)) >> np.uint64(12)) / 2.0**52
-            edge = np.searchsorted(share, node + draw, side="right")
+            draw = mix(keys[word] + np.uint64(step * 0xD6E8FEB86659FD93 & ALL)) >> np.uint64(32)
+            edge = np.searchsorted(share, node.astype(np.uint64) << np.uint64(32) | np.minimum(draw, LAST_SHARE), side="left")
             steps.append((word, piece[edge]))
             lengths[word] += 1
             node = start[edge]
