@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,14 @@ BLOCK = 16384
 NODES = 20_000
 #: Fillings around one piece that the search tries besides the fullest.
 WIDTH = 64
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
+#: Texts whose new words are tokenised together.
+TEXTS_AT_ONCE = 64
 END_ID = 0
 
+#: Lower-case letters of ASCII and Latin-1, as UTF-8; lower-casing and composing leave them alone.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -54,35 +60,51 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode() for w in words]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, words: list[bytes]) -> None:
+        """Ids per word. Words of plain letters are encoded as one text: each ends with its only token
+        that closes a word."""
+        plain = [w for w in words if LETTERS.fullmatch(w)]
+        joined = self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)
+        ids = np.array(joined[0].ids, "<u4")
+        bounds = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        data = ids.tobytes()
+        found = dict(zip(plain, [data[a:b] for a, b in itertools.pairwise(bounds)], strict=True))
+        rest = [w for w in words if w not in found]
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        found.update(zip(rest, [np.array(e.ids, "<u4").tobytes() for e in encoded], strict=True))
+        return [found[w] for w in words]
+
+    def _learn(self, words: set[bytes]) -> None:
         """Letters and the points or commas behind them are tokens apart."""
-        if len(self.words) > WORDS_KEPT:
-            self.words = {}
-        parts = {}
+        table, parts, new = self.words, [], set()
         for word in words:
             core = word.rstrip(b".,")
-            parts[word] = (core, word[len(core) :]) if core[-1:].isalpha() and len(core) < len(word) else (word,)
-        new = list(dict.fromkeys(p for ps in parts.values() for p in ps if p not in self.words))
-        self.words.update(zip(new, self._ids(new), strict=True))
-        for word, ps in parts.items():
-            self.words[word] = b"".join([self.words[p] for p in ps])
-
-    def encode(self, text: str) -> bytes:
-        words = text.encode().lower().split()
-        new = {w for w in words if w not in self.words}
+            if len(core) < len(word) and core[-1:].isalpha():
+                tail = word[len(core) :]
+                parts.append((word, core, tail))
+                new.add(core)
+                new.add(tail)
+            else:
+                new.add(word)
+        missing = list(new.difference(table))
+        table.update(zip(missing, self._ids(missing), strict=True))
+        for word, core, tail in parts:
+            table[word] = table[core] + table[tail]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of a few texts, whose new words are tokenised together."""
+        split = [text.encode().lower().split() for text in texts]
+        if len(self.words) > WORDS_KEPT:
+            self.words = {}
+        new = set().union(*split).difference(self.words)
         if new:
-            self._learn(list(new))
-            new = {w for w in words if w not in self.words}  # the table was emptied meanwhile
-            if new:
-                self._learn(list(new))
-        table = self.words
-        return b"".join([table[w] for w in words])
+            self._learn(new)
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -102,12 +124,13 @@ def _pieces(path: str, size: int):
     def cut(texts: pa.Array) -> pa.Array:
         encoder, end = _encoder(path), np.array([END_ID], "<u4").tobytes()
         counts, rows = [0], []
-        for text in texts:
-            ids = encoder.encode(text.as_py() or "") + end
-            for at in range(0, len(ids), 4 * size):
-                part = ids[at : at + 4 * size]
-                rows.append((at // (4 * size), at // 4, len(part) // 4, part))
-            counts.append(len(rows))
+        for first in range(0, len(texts), TEXTS_AT_ONCE):
+            for ids in encoder.encode([t or "" for t in texts.slice(first, TEXTS_AT_ONCE).to_pylist()]):
+                ids += end
+                for at in range(0, len(ids), 4 * size):
+                    part = ids[at : at + 4 * size]
+                    rows.append((at // (4 * size), at // 4, len(part) // 4, part))
+                counts.append(len(rows))
         columns = zip(*rows, strict=True) if rows else ([],) * 4
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
         values = pa.StructArray.from_arrays(
