@@ -6,11 +6,13 @@
    solve for the rotation, repeat). The signs are the code. Several rotations from different starts
    give further codes. They are fitted on at most ``SAMPLE_VALUES`` numbers; every class is coded.
 3. Tables: a code is cut into chunks; a class enters one table per chunk, under its label, length
-   and chunk. Chunks get longer with the number of classes, so buckets stay small, and the number
-   of tables follows from the chunk length and the wanted recall for a pair just at the threshold.
+   and chunk. Chunks get longer with the number of classes, so buckets stay small. Sampled vectors
+   get partners at exactly the threshold; codes are added until the wanted share of these pairs
+   meets in some table, also among the tenth whose angle centring widens most. Where that would
+   take more than ``MOST_TABLES``, chunks are shorter instead: buckets grow, and no pair is lost.
    A bucket with more than ``BLOCK`` classes is compared in pairs of blocks.
-4. Members of a bucket with some other code within the Hamming distance that similar vectors can
-   have are compared by cosine in double precision. A pair counts in the first table in which it
+4. Members of a bucket with some other code within the Hamming distance that the made pairs have
+   are compared by cosine in double precision. A pair counts in the first table in which it
    meets. Buckets report, per member, how many vectors it links with, and chains through linked
    members; no list of pairs is made.
 
@@ -25,6 +27,7 @@ Defined results:
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import math
 
@@ -42,6 +45,8 @@ SAMPLE_VALUES = 2_000_000
 BITS, ITERATIONS = 64, 50
 #: Wanted share of the pairs at the threshold that meet in some table.
 RECALL = 0.985
+#: Pairs at the threshold made for measuring it, and the number of tables that a plan may take.
+MADE, MOST_TABLES = 4000, 64
 #: Classes that should share a bucket, and that are compared at once.
 BUCKET, BLOCK = 32, 1024
 
@@ -76,20 +81,29 @@ def unit_rows(vectors: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 class Quantiser:
     """Projections onto balanced binary codes."""
 
-    def __init__(self, sample: np.ndarray, codes: int):
+    def __init__(self, sample: np.ndarray):
         self.mean = sample.mean(0) if len(sample) else np.zeros(sample.shape[1])
         centred = sample - self.mean
         _, axes = np.linalg.eigh(centred.T @ centred)
-        axes = axes[:, ::-1][:, : min(BITS, sample.shape[1])]
-        points, random = centred @ axes, np.random.default_rng(7)
+        self.axes = axes[:, ::-1][:, : min(BITS, sample.shape[1])]
+        self.points, self.random = centred @ self.axes, np.random.default_rng(7)
         self.projections = []
-        for _ in range(codes):
-            turn, _ = np.linalg.qr(random.standard_normal((axes.shape[1],) * 2))
-            for _ in range(ITERATIONS if len(points) else 0):
-                corners = np.where(points @ turn >= 0, 1.0, -1.0)
-                left, _, right = np.linalg.svd(corners.T @ points)
-                turn = (left @ right).T
-            self.projections.append(axes @ turn)
+        self.add()
+
+    def add(self) -> None:
+        """One more code, from another start."""
+        turn, _ = np.linalg.qr(self.random.standard_normal((self.axes.shape[1],) * 2))
+        for _ in range(ITERATIONS if len(self.points) else 0):
+            corners = np.where(self.points @ turn >= 0, 1.0, -1.0)
+            left, _, right = np.linalg.svd(corners.T @ self.points)
+            turn = (left @ right).T
+        self.projections.append(self.axes @ turn)
+
+    def fitted(self) -> Quantiser:
+        """Without the sample, for the executors."""
+        bare = copy.copy(self)
+        bare.points = bare.random = None
+        return bare
 
     def bits(self, units: np.ndarray) -> np.ndarray:
         """All codes side by side, one column per bit."""
@@ -97,16 +111,54 @@ class Quantiser:
         return np.concatenate([centred @ p >= 0 for p in self.projections], axis=1)
 
 
-def table_plan(classes: int, bits: int, threshold: float) -> tuple[int, int, float]:
-    """Bits of a chunk, number of codes, and the share of bits that a similar pair has apart."""
-    apart = math.acos(threshold) / math.pi
+def threshold_pairs(sample: np.ndarray, lengths: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled vectors and, for each, one at exactly the threshold.
+
+    Half of the partners lie in any direction, half in the direction of another sampled vector.
+    """
+    random = np.random.default_rng(11)
+    if not len(sample):
+        return sample, sample
+    chosen = random.integers(len(sample), size=MADE)
+    units = sample[chosen]
+    away = random.standard_normal(units.shape)
+    away[::2] = sample[random.integers(len(sample), size=len(away[::2]))] - units[::2]
+    away *= np.arange(sample.shape[1]) < lengths[chosen, None]
+    away -= (away * units).sum(1, keepdims=True) * units
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    some = size[:, 0] > 1e-6
+    units, away = units[some], away[some] / size[some]
+    return units, threshold * units + math.sqrt(max(0.0, 1 - threshold * threshold)) * away
+
+
+def table_plan(classes: int, bits: int, quantiser: Quantiser, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    """Bits of a chunk, and the bits that a similar pair has apart; codes are added to ``quantiser``."""
     chunk = min(bits, max(4, math.ceil(math.log2(max(classes, 1) / BUCKET + 1))))
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - apart) ** chunk))
-    return chunk, math.ceil(tables / (bits // chunk)), apart
+    if not len(pairs[0]):
+        return chunk, bits
+    a, b = pairs[0] - quantiser.mean, pairs[1] - quantiser.mean
+    cosine = (a * b).sum(1) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1), 1e-300)
+    widest = np.argsort(cosine)[: math.ceil(len(cosine) / 10)]
+    while True:
+        codes = [quantiser.bits(side) for side in pairs]
+        equal = np.equal(*[_chunks(c, bits, chunk) for c in codes])
+        met = equal.any(1)
+        if min(met.mean(), met[widest].mean()) >= RECALL:
+            break
+        share = equal[widest].mean()
+        wanted = math.log(1 - RECALL) / math.log(1 - share) if 0 < share < 1 else math.inf
+        if max(wanted, equal.shape[1] + 1) > MOST_TABLES:
+            chunk -= 1
+        else:
+            quantiser.add()
+    apart = (codes[0] != codes[1]).sum(1)
+    return chunk, math.ceil(max(apart.max(), apart.mean() + 4 * apart.std(), apart[widest].mean() + 4 * apart[widest].std()))
 
 
 def _chunks(bits: np.ndarray, per_code: int, chunk: int) -> np.ndarray:
-    """Value of each table's chunk, one column per table."""
+    """Value of each table's chunk, one column per table; without bits, one table that all share."""
+    if not chunk:
+        return np.zeros((len(bits), 1), np.int64)
     weights = (1 << np.arange(chunk, dtype=np.int64))[:, None]
     found = []
     for first in range(0, bits.shape[1], per_code):
@@ -178,11 +230,11 @@ def _linked(threshold: float):
     return link
 
 
-def _sample(classes: DataFrame, total: int, width: int) -> np.ndarray:
-    """Unit vectors of at most about ``SAMPLE_VALUES`` numbers, for the fit alone."""
+def _sample(classes: DataFrame, total: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of at most about ``SAMPLE_VALUES`` numbers, for the fit alone, and their lengths."""
     share = min(1.0, SAMPLE_VALUES / max(1, width * total))
-    found = classes.sample(share, seed=3).select("embedding").toArrow().column(0)
-    return unit_rows(found, width)
+    found = classes.sample(share, seed=3).select("embedding", "length").toArrow()
+    return unit_rows(found.column(0), width), found.column(1).to_numpy()
 
 
 def similar_vectors(
@@ -205,9 +257,10 @@ def similar_vectors(
     )
     total, width = classes.agg(F.count(F.lit(1)), F.coalesce(F.max("length"), F.lit(1))).first()
     bits = min(BITS, width)
-    chunk, codes, apart = table_plan(total, bits, threshold)
-    quantiser = Quantiser(_sample(classes, total, width), codes)
-    coded = stored(classes.withColumn("code", _coder(quantiser, bits, chunk, width)("embedding")), "coded")
+    sample, lengths = _sample(classes, total, width)
+    quantiser = Quantiser(sample)
+    chunk, most_apart = table_plan(total, bits, quantiser, threshold_pairs(sample, lengths, threshold))
+    coded = stored(classes.withColumn("code", _coder(quantiser.fitted(), bits, chunk, width)("embedding")), "coded")
     tables = coded.select(
         "class", "label", "length", F.col("code.bits").alias("bits"), F.posexplode("code.chunks").alias("at", "value")
     )
@@ -223,10 +276,9 @@ def similar_vectors(
             F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         )
     )
-    most_apart = apart + 4 * math.sqrt(apart * (1 - apart) / bits)
     near = stored(
         dealt.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(
-            _promising(math.ceil(most_apart * bits * codes)), dealt.drop("bits").schema
+            _promising(most_apart), dealt.drop("bits").schema
         ), "near",
     )
     full = near.join(coded.select("class", "embedding", "vectors", F.col("code.chunks").alias("chunks")), "class")

@@ -97,3 +97,21 @@ def test_given_vectors(spark, sf):
     got = [(found[r[0]]["n_links"], found[r[0]]["component_id"]) for r in rows]
     assert sum(g[0] for g in got) >= 0.95 * sum(links)
     assert np.mean([g[1] == w for g, w in zip(got, ids, strict=True)]) > 0.99
+
+
+def test_vectors_with_a_large_common_mean(spark):
+    rng = np.random.default_rng(9)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    common = unit(rng.standard_normal(64))
+    vectors = unit(0.92 * common + 0.39 * unit(rng.standard_normal((3000, 64))))
+    noise = rng.standard_normal(vectors.shape)
+    noise -= (noise * vectors).sum(1, keepdims=True) * vectors
+    near = 0.935 * vectors + (1 - 0.935**2) ** 0.5 * unit(noise)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([vectors, near]))]
+    found, (links, ids) = run(spark, rows), all_pairs(rows)
+    assert all(f[0] <= w for f, w in zip(found, links, strict=True))
+    assert sum(f[0] for f in found) >= 0.97 * sum(links)
+    assert np.mean([f[1] == w for f, w in zip(found, ids, strict=True)]) > 0.95
