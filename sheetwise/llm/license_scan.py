@@ -1,12 +1,15 @@
 """Licence notices in texts: a trained paragraph classifier, confirmed by template comparison.
 
-Paragraphs are lines; long ones are read in overlapping windows of words, so a notice inside a long
-line is seen whole. Windows become sparse vectors of hashed words and word pairs, and a multinomial
+Lines are read in overlapping windows of words, so a notice inside a long line is seen whole. For a
+notice wrapped over lines, the ``AROUND`` words (and breaks) on both sides of every line break are a
+window too, up to the next line without a word: the longest template fits in whichever way it is
+broken. Windows become sparse vectors of hashed words and word pairs, and a multinomial
 logistic regression names the licence family or ``unknown``. It is trained on the templates below,
-whole, cut short and set into lines of the corpus, against plain lines of about ``TRAIN_DOCS``
+whole, cut short, in twos and set into lines of the corpus, against plain lines of about ``TRAIN_DOCS``
 documents. A temperature, chosen on held-out samples, and the share of windows with a notice
-calibrate the probabilities; a family below ``LEAST`` is unknown. A prediction is confirmed if the window has most of the words and word pairs
-of a template of that family.
+calibrate the probabilities. Every family of at least ``LEAST`` is a prediction, so two licences of
+one window are both named. A prediction is confirmed if the window has most of the words and word
+pairs of a template of that family, and, beside a more probable family, one that family lacks.
 
 All of it is DataFrame functions and Spark's own feature and regression classes; rows are scored
 where they lie, without a shuffle.
@@ -14,7 +17,9 @@ where they lie, without a shuffle.
 Defined results:
 
 * null and empty texts, and texts without a word, have no paragraphs and give no row.
-* each window with a notice is a row, so a notice where two windows overlap gives two.
+* each window and family with a notice is a row, so a notice where two windows overlap gives two.
+  ``paragraph`` is the number of the line, for a window over a break that of the line before it.
+* a window over a break gives no row for a family that a line of it confirms: that line has the row.
 * repeated rows give the same rows each. An empty table gives an empty result.
 * other columns are not read, whatever their names.
 """
@@ -79,6 +84,8 @@ TEMPLATES = {
 FAMILIES = ["unknown", *sorted(TEMPLATES)]
 TRAIN_DOCS = 3000
 WINDOW, STEP = 40, 24
+#: Words and breaks on each side of a line break; the longest template has 29 words.
+AROUND = 34
 FEATURES_LOG = 13
 LEAST, OVERLAP = 0.1, 0.75
 #: Share of windows that bear a notice.
@@ -97,7 +104,7 @@ def grams(tokens: Column) -> Column:
     return let(
         tokens,
         lambda t: F.array_distinct(
-            F.concat(t, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+            F.concat(t, F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.size(t)), lambda a, b: F.concat_ws(" ", a, b)))
         ),
     )
 
@@ -111,6 +118,39 @@ def windows(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", "paragraph", "first_word", F.slice("all", F.col("first_word") + 1, WINDOW).alias("tokens"))
 
 
+def break_windows(docs: DataFrame) -> DataFrame:
+    """As ``windows``, of the words around each line break, with ``lines``, their words line by line."""
+    marked = F.split(F.lower(F.replace(F.col("text"), F.lit("\n"), F.lit(" \n "))), "[^\\p{L}\\p{N}\n]+", -1)
+    marked = F.filter(marked, lambda w: w != "")
+
+    def around(m: Column, ends: Column) -> Column:
+        def view(end: Column, i: Column) -> Column:
+            first = F.greatest(end - AROUND, F.lit(0))
+            return F.struct(
+                F.greatest(first - F.coalesce(F.get(ends, i - 1) + 1, F.lit(0)), F.lit(0)).alias("first_word"),
+                F.slice(m, first + 1, end - first).alias("left"),
+                F.slice(m, end + 2, F.lit(AROUND)).alias("right"),
+            )
+
+        return F.transform(ends, view)
+
+    def ends(m: Column) -> Column:
+        return F.filter(F.transform(m, lambda w, i: F.when(w == "\n", i)), lambda i: i.isNotNull())
+
+    views = let(marked, lambda m: let(ends(m), lambda e: around(m, e)))
+    found = docs.select("doc_id", F.posexplode(views).alias("paragraph", "v")).select("doc_id", "paragraph", "v.*")
+    inside = found.filter((F.get("left", F.size("left") - 1) != "\n") & (F.get("right", F.lit(0)) != "\n"))
+    text = F.concat_ws(
+        " \n ",
+        F.substring_index(F.array_join("left", " "), "\n \n", -1),
+        F.substring_index(F.array_join("right", " "), "\n \n", 1),
+    )
+    lines = F.transform(F.split(text, "\n"), lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
+    cut = inside.select("doc_id", "paragraph", "first_word", lines.alias("lines"))
+    cut = cut.select("doc_id", "paragraph", "first_word", F.flatten("lines").alias("tokens"), "lines")
+    return cut.filter(F.size("tokens") > 0)
+
+
 def _notices() -> Column:
     """All templates as an array of (family number, tokens)."""
     rows = [(FAMILIES.index(f), t) for f, ts in sorted(TEMPLATES.items()) for t in ts]
@@ -131,12 +171,16 @@ def training_samples(docs: DataFrame, documents: int = TRAIN_DOCS) -> DataFrame:
     share = min(1.0, documents / max(1, docs.count()))
     chosen = docs.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
     likeness = F.greatest(*[_overlap(F.col("g"), t) for ts in TEMPLATES.values() for t in ts])
-    plain = windows(chosen).withColumn("g", grams(F.col("tokens"))).filter(likeness < UNLIKE).select("tokens")
+    breaks = break_windows(chosen).withColumn("g", grams(F.col("tokens")))
+    # a line of a wrapped notice is unlike every template, but no sample of the unknown class
+    wrapped = breaks.filter(likeness >= UNLIKE).select(F.col("doc_id").alias("of")).distinct()
+    cut = windows(chosen).withColumn("g", grams(F.col("tokens"))).unionByName(breaks.drop("lines")).filter(likeness < UNLIKE)
+    plain = cut.join(wrapped, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti").select("tokens")
     some = plain.withColumn("h", F.xxhash64(F.array_join("tokens", " "))).orderBy("h").limit(3 * documents)
     at = F.pmod("h", F.size(_notices())).cast("int")
     noticed = some.withColumn("n", F.get(_notices(), at)).withColumn("form", F.pmod(F.shiftright("h", 8), F.lit(6)))
     size = F.size("n.notice")
-    room = F.greatest(WINDOW - size, F.lit(0))
+    room = F.greatest(F.greatest(F.lit(WINDOW), F.size("tokens")) - size, F.lit(0))
     before = F.pmod(F.shiftright("h", 24), room + 1).cast("int")
     # whole, without the first or last words, behind other words, before them, among them
     forms = [
@@ -150,6 +194,12 @@ def training_samples(docs: DataFrame, documents: int = TRAIN_DOCS) -> DataFrame:
     chosen_form = reduce(lambda rest, i: F.when(F.col("form") == i, forms[i]).otherwise(rest), range(1, len(forms)), forms[0])
     held = (F.pmod(F.shiftright("h", 16), F.lit(4)) == 0).alias("held")
     known = noticed.select(F.col("n.label").cast("double").alias("label"), chosen_form.alias("tokens"), held)
+    # two families in one window, once under each
+    other = F.get(_notices(), F.pmod(F.xxhash64("h"), F.size(_notices())).cast("int"))
+    twos = noticed.filter(F.pmod(F.shiftright("h", 12), F.lit(4)) == 0).withColumn("o", other).filter("n.label <> o.label")
+    both = F.concat("n.notice", F.slice("tokens", 1, F.pmod(F.shiftright("h", 32), F.lit(8)).cast("int")), "o.notice")
+    for label in ("n.label", "o.label"):
+        known = known.unionByName(twos.select(F.col(label).cast("double").alias("label"), both.alias("tokens"), held))
     return known.unionByName(some.select(F.lit(0.0).alias("label"), "tokens", held)).unionByName(
         known.sparkSession.range(1).select(F.explode(_notices()).alias("n")).select(
             F.col("n.label").cast("double").alias("label"), F.col("n.notice").alias("tokens"), F.lit(False).alias("held")
@@ -198,10 +248,15 @@ def train(docs: DataFrame) -> LicenseModel:
     return LicenseModel(regression, min(measured)[1] if measured else 1.0)
 
 
+def _wanted(template: str) -> list[str]:
+    """The words and word pairs of a template, each once."""
+    found = template_words(template)
+    return list(dict.fromkeys([*found, *[f"{a} {b}" for a, b in itertools.pairwise(found)]]))
+
+
 def _overlap(tokens: Column, template: str) -> Column:
     """Share of the template's words and word pairs that the window has."""
-    found = template_words(template)
-    wanted = list(dict.fromkeys([*found, *[f"{a} {b}" for a, b in itertools.pairwise(found)]]))
+    wanted = _wanted(template)
     return F.size(F.array_intersect(tokens, _literal(wanted))) / len(wanted)
 
 
@@ -214,23 +269,29 @@ def template_overlap(tokens: Column, family: Column) -> Column:
     return reduce(lambda rest, x: F.when(family == x[0], x[1]).otherwise(rest), per_family, F.lit(0.0))
 
 
+def template_grams(family: Column) -> Column:
+    """Words and word pairs of all templates of a family."""
+    per_family = [(f, _literal([w for t in ts for w in _wanted(t)])) for f, ts in sorted(TEMPLATES.items())]
+    return reduce(lambda rest, x: F.when(family == x[0], x[1]).otherwise(rest), per_family, _literal([]).cast("array<string>"))
+
+
 def license_notices(docs: DataFrame, model: LicenseModel | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, paragraph, first_word, family, probability, overlap, confirmed`` of all notices found."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     model = model or train(texts)
-    cut = windows(texts)
-    judged = model.probabilities(cut)
-    best = let(
-        F.slice("p", 2, len(FAMILIES) - 1),
-        lambda p: let(F.array_max(p), lambda m: F.struct(m.alias("probability"), F.array_position(p, m).cast("int").alias("at"))),
-    )
+    # line windows have no lines of their own
+    cut = windows(texts).withColumn("lines", F.array().cast("array<array<string>>")).unionByName(break_windows(texts))
     names = F.array(*[F.lit(f) for f in FAMILIES])
-    named = judged.select("doc_id", "paragraph", "first_word", "tokens", best.alias("best")).select(
-        "doc_id", "paragraph", "first_word", "tokens", F.col("best.probability").alias("probability"),
-        F.get(names, F.col("best.at")).alias("family"),
-    )
-    found = named.filter(F.col("probability") >= LEAST)
-    measured = found.withColumn("overlap", template_overlap(grams(F.col("tokens")), F.col("family")))
-    return measured.select(
-        "doc_id", "paragraph", "first_word", "family", "probability", "overlap", (F.col("overlap") >= OVERLAP).alias("confirmed")
+    likely = F.filter(
+        F.transform("p", lambda p, i: F.struct(p.alias("probability"), F.get(names, i).alias("family"))),
+        lambda x: (x["probability"] >= LEAST) & (x["family"] != FAMILIES[0]),
     )
+    judged = model.probabilities(cut).select("doc_id", "paragraph", "first_word", "tokens", "lines", likely.alias("likely"))
+    first = F.element_at(F.sort_array("likely", asc=False), 1)["family"]
+    found = judged.filter(F.size("likely") > 0).withColumn("g", grams(F.col("tokens"))).withColumn("first", first)
+    each = found.withColumn("one", F.explode("likely")).select("*", "one.*")
+    whole = F.exists("lines", lambda x: template_overlap(grams(x), F.col("family")) >= OVERLAP)
+    measured = each.filter(~whole).withColumn("overlap", template_overlap(F.col("g"), F.col("family")))
+    own = F.size(F.array_except(F.array_intersect("g", template_grams(F.col("family"))), template_grams(F.col("first")))) > 0
+    confirmed = (F.col("overlap") >= OVERLAP) & ((F.col("family") == F.col("first")) | own)
+    return measured.select("doc_id", "paragraph", "first_word", "family", "probability", "overlap", confirmed.alias("confirmed"))

@@ -67,3 +67,36 @@ def test_empty_table_and_plan(spark, found, plan_of):
     assert license_notices(docs.limit(0), model).count() == 0
     plan = plan_of(license_notices(table(spark, SF, "documents"), model))
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+WRAPPED = {
+    "gpl": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or""",
+    "cc-by-nc": "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.",
+    "apache-2.0": """ # you may not use this file except in compliance with the License.
+ # You may obtain a copy of the License at""",
+}
+
+
+def test_wrapped_notices(spark, found):
+    rng, rows = random.Random(5), []
+    for i, (family, notice) in enumerate(sorted(WRAPPED.items())):
+        rows.append((i, f"{prose(rng, 30)}\n\n{notice}\n\n{prose(rng, 30)}", family))
+        rows.append((i + 10, f"{prose(rng, 30)}\n{prose(rng, 5)} {notice}\n{prose(rng, 50)}", family))
+    rows.append((30, "This work is licensed under a Creative Commons\n \nAttribution-NonCommercial 4.0 International License.", None))
+    notices = license_notices(spark.createDataFrame(rows, "doc_id long, text string, family string"), found[1]).collect()
+    confirmed = {(r["doc_id"], r["family"]) for r in notices if r["confirmed"]}
+    assert confirmed == {(i, f) for i, _, f in rows if f}
+
+
+def test_two_licences_of_one_window(spark, found):
+    rows = [
+        (0, "Licensed under the MIT License or the Apache License, Version 2.0.", ["mit", "apache-2.0"]),
+        (1, "Licensed under the Apache License, Version 2.0 or\nreleased under the MIT License, at your option.", ["mit", "apache-2.0"]),
+        (2, "Licensed under the GNU General Public License, version 2. Licensed under the Mozilla Public License, Version 2.0", ["gpl", "mpl-2.0"]),
+        (3, "Licensed under the GNU Lesser General Public License, version 3", ["lgpl"]),
+    ]
+    notices = license_notices(spark.createDataFrame(rows, "doc_id long, text string, families array<string>"), found[1]).collect()
+    confirmed = {(r["doc_id"], r["family"]) for r in notices if r["confirmed"]}
+    assert confirmed == {(i, f) for i, _, fs in rows for f in fs}
