@@ -86,7 +86,7 @@ TRAIN_DOCS = 3000
 WINDOW, STEP = 40, 24
 #: Words and breaks on each side of a line break; the longest template has 29 words.
 AROUND = 34
-FEATURES_LOG = 13
+FEATURES_LOG = 16
 LEAST, OVERLAP = 0.1, 0.75
 #: Share of windows that bear a notice.
 NOTICES = 0.05
@@ -170,11 +170,11 @@ def training_samples(docs: DataFrame, documents: int = TRAIN_DOCS) -> DataFrame:
     """``label, tokens, held``: lines of the corpus as unknown, and the templates among such lines."""
     share = min(1.0, documents / max(1, docs.count()))
     chosen = docs.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    likeness = F.greatest(*[_overlap(F.col("g"), t) for ts in TEMPLATES.values() for t in ts])
-    breaks = break_windows(chosen).withColumn("g", grams(F.col("tokens")))
+    likeness = let(grams(F.col("tokens")), lambda g: F.greatest(*[_overlap(g, t) for ts in TEMPLATES.values() for t in ts]))
+    breaks = break_windows(chosen)
     # a line of a wrapped notice is unlike every template, but no sample of the unknown class
     wrapped = breaks.filter(likeness >= UNLIKE).select(F.col("doc_id").alias("of")).distinct()
-    cut = windows(chosen).withColumn("g", grams(F.col("tokens"))).unionByName(breaks.drop("lines")).filter(likeness < UNLIKE)
+    cut = windows(chosen).unionByName(breaks.drop("lines")).filter(likeness < UNLIKE)
     plain = cut.join(wrapped, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti").select("tokens")
     some = plain.withColumn("h", F.xxhash64(F.array_join("tokens", " "))).orderBy("h").limit(3 * documents)
     at = F.pmod("h", F.size(_notices())).cast("int")
@@ -233,7 +233,7 @@ def train(docs: DataFrame) -> LicenseModel:
     """Fit on three quarters of the samples, calibrate on the rest."""
     samples = stored(training_samples(docs), "license_samples")
     fit = _vectors(samples.filter("not held")).select("label", "features")
-    regression = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=40).fit(fit)
+    regression = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=60).fit(fit)
     held = regression.transform(_vectors(samples.filter("held"))).select(
         F.col("label").cast("int").alias("label"), vector_to_array("rawPrediction").alias("raw")
     )
