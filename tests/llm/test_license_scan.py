@@ -5,10 +5,8 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.ml.feature import HashingTF
 
 from sheetwise.catalog.registry import table
-from sheetwise.llm import license_scan
 from sheetwise.llm.license_scan import TEMPLATES, license_notices, train, windows
 from tests.conftest import SF
 
@@ -102,9 +100,3 @@ def test_two_licences_of_one_window(spark, found):
     notices = license_notices(spark.createDataFrame(rows, "doc_id long, text string, families array<string>"), found[1]).collect()
     confirmed = {(r["doc_id"], r["family"]) for r in notices if r["confirmed"]}
     assert confirmed == {(i, f) for i, _, fs in rows for f in fs}
-
-
-def test_template_words_share_no_bucket(spark):
-    wanted = {g for ts in TEMPLATES.values() for t in ts for g in license_scan._wanted(t)}
-    hashing = HashingTF(numFeatures=1 << license_scan.FEATURES_LOG)
-    assert len({hashing.indexOf(g) for g in wanted}) == len(wanted)
