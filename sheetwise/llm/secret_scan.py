@@ -4,7 +4,7 @@ Three fixed rules find assigned values, access keys and long hexadecimal runs. B
 characters that keys are written in are scored by two character Markov models, one of random
 strings and one of ordinary identifiers: the sum of log-likelihood ratios of all transitions. A run
 is a secret if that makes it more likely random than not, when one run in ``1 / PRIOR`` is. Runs
-that touch a span of the fixed rules are left to those.
+that spans of the fixed rules cover are left to those.
 
 The models are trained on labelled samples: values that the fixed rules find are random; other runs
 are ordinary, and so are names made of neighbouring words (snake, kebab, path and camel case), dates
@@ -233,9 +233,17 @@ def _markov_spans(text: Column, base: Column, weights: list[float]) -> Column:
 
     found = _spans(text, "markov", RUN, lambda parts, match, i: random(match)).cast(SPAN)
     some = F.exists(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), random)
-    apart = F.filter(
-        found, lambda m: ~F.exists(base, lambda b: (b["start"] < m["stop"]) & (b["stop"] > m["start"]))
-    )
+
+    def covered(m: Column) -> Column:
+        # base spans are sorted; how far they cover the run without a gap
+        reach = F.aggregate(
+            base,
+            m["start"],
+            lambda at, b: F.when((b["start"] <= at) & (b["stop"] > at), b["stop"]).otherwise(at),
+        )
+        return reach >= m["stop"]
+
+    apart = F.filter(found, lambda m: ~covered(m))
     return F.when(some, apart).otherwise(F.array().cast(SPAN))
 
 

@@ -106,3 +106,10 @@ def test_running_sums(spark):
 def test_plan_is_one_native_pass(spark, plan_of):
     plan = plan_of(secret_report(table(spark, SF, "documents")))
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_run_around_a_hexadecimal_run(spark, weights):
+    key = "ghp-1234567890123456-aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5"
+    docs = spark.createDataFrame([(1, f"é {key} end", 10)], "doc_id long, text string, n_chars long")
+    assert secret_report(docs, weights=weights).first()["spans"] == f"markov:2:{2 + len(key)},hex:6:22"
+    assert secret_stage(docs, weights=weights).first()["text"] == "é [secret] end"
