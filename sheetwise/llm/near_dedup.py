@@ -313,13 +313,14 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", row: str | None = None
 ) -> DataFrame:
-    """Per row: ``row`` (its key), doc_id, n_shingles, component_id, and whether it is kept.
+    """Per row: ``row`` (its key, or the given one), doc_id, n_shingles, component_id, and whether it is kept.
 
     ``kept``: the id is the component's. ``first``: the one row that stands for the component.
     """
-    keyed = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "row")
+    named = [F.col(doc_id).alias("doc_id"), F.col(text).alias("text")]
+    keyed = docs.select(F.col(row).alias("row"), *named) if row else with_row_key(docs.select(*named), "row")
     signed = stored(
         keyed.select("row", "doc_id", _signatures(words)("text").alias("s")).select("row", "doc_id", "s.*"), "signed"
     )
@@ -357,5 +358,6 @@ def near_duplicates(
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
     """One document of each group stays, columns unchanged; five words, similarity 0.8."""
     key = free_name(docs, "row")
-    rows = near_duplicates(docs).filter("first").select(F.col("row").alias(key))
-    return with_row_key(docs, key).join(rows, key, "left_semi").select(docs.columns)
+    keyed = with_row_key(docs, key)  # numbered once: rows after a shuffle may come in another order
+    rows = near_duplicates(keyed, row=key).filter("first").select(F.col("row").alias(key))
+    return keyed.join(rows, key, "left_semi").select(docs.columns)

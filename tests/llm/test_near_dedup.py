@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from sheetwise.llm import near_dedup
+from sheetwise.llm import common, near_dedup
 from sheetwise.llm.components import components
 from sheetwise.llm.near_dedup import near_dedup_stage, near_duplicates
 
@@ -126,3 +126,11 @@ def test_components(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {n: root(n) for n in parent if n != 800}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stage_numbers_rows_once(spark, monkeypatch):
+    written, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: (written.append(name), stored(df, name))[1])
+    docs = spark.createDataFrame([(i, f"the same words in text {i % 3} of a few", "s") for i in range(9)], "doc_id long, text string, source string")
+    kept = near_dedup_stage(docs.distinct())
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2] and written.count("rows") == 1
