@@ -8,8 +8,10 @@ Within a block: best-fit decreasing gives the first solution and a lower bound o
 sequences tells whether it can be improved. If so, bin completion takes over: the largest piece
 left has to lie in some sequence, so the search branches over the fillings around it, the fullest
 first, leaves out fillings that another one dominates, and gives up a branch when the room wasted
-so far rules out a better solution than the one at hand. The search ends with a proof, or after
-``NODES`` branches; then the best solution found stands.
+so far rules out a better solution than the one at hand. Of the fillings around a piece it tries the
+fullest and the undominated of the first ``WIDTH``, largest pieces first. The search ends at the
+lower bound, which is a proof, when no filling of these is left, or after ``NODES`` branches; in the
+last two cases the best solution found stands and may have a sequence too many.
 
 Tokens of a document are the tokens of its words (runs between ASCII blanks): the vocabulary drops
 white space, so no token spans a blank. Words met before are looked up, not tokenised again.
@@ -308,7 +310,7 @@ def bin_completion(counts: np.ndarray, size: int, nodes: int = NODES) -> list[li
                 left -= 1 + len(other)
                 break
         else:
-            break  # every filling is tried: proven
+            break  # every filling within WIDTH is tried: no proof beyond it
     return best
 
 
