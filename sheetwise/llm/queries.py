@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.catalog.registry import table
-from sheetwise.llm import embedding_dedup, importance, license_scan, near_dedup, packing, piece_sampling, quality_rules, secret_scan, url_filter, warc
+from sheetwise.llm import byte_bpe, embedding_dedup, importance, license_scan, near_dedup, packing, piece_sampling, quality_rules, secret_scan, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,22 @@ def op10_warc(spark, sf_dir):
     folder = warc.archive_folder(spark)
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.read_archives(manifest, folder)
+
+
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op12_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    encoded = docs.select("doc_id", byte_bpe.ids_of(F.col("text"), byte_tokenizer()).alias("ids"))
+    decoded = encoded.withColumn("decoded", byte_bpe.text_of(F.col("ids"), byte_tokenizer()))
+    return decoded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
