@@ -244,17 +244,14 @@ class ByteBPE:
         """Append the ids of waiting parts (or of an added token) to their texts."""
         if len(self.parts) > PARTS_KEPT:
             self.parts = {}
-        rows = [[ids] if parts is None else list(map(self.parts.get, parts)) for _, parts, ids in waiting]
-        new: set[bytes] = set()
-        for (_, parts, _), row in zip(waiting, rows, strict=True):
-            if None in row:
-                new.update([p for p, ids in zip(parts, row, strict=True) if ids is None])
-        fresh = dict(zip(new, self.merge([*new]), strict=True))
-        for (out, parts, _), row in zip(waiting, rows, strict=True):
-            if None in row:
-                row = [fresh[p] if ids is None else ids for p, ids in zip(parts, row, strict=True)]
-            out.append(b"".join(row))
-        self.parts.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST_KEPT)
+        new = list(set(itertools.chain.from_iterable(parts or () for _, parts, _ in waiting)).difference(self.parts))
+        self.parts.update(zip(new, self.merge(new), strict=True))
+        known = self.parts.__getitem__
+        for out, parts, ids in waiting:
+            out.append(ids if parts is None else b"".join(map(known, parts)))
+        for part in new:
+            if len(part) > LONGEST_KEPT:
+                del self.parts[part]
 
     def decode(self, ids: bytes) -> bytes:
         numbers, out = np.frombuffer(ids, "<u4"), []
