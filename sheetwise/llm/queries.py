@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.catalog.registry import table
-from sheetwise.llm import byte_bpe, divergence, embedding_dedup, importance, license_scan, near_dedup, packing, piece_sampling, quality_rules, secret_scan, url_filter, warc
+from sheetwise.llm import byte_bpe, conversation_repair, divergence, embedding_dedup, importance, license_scan, near_dedup, packing, piece_sampling, quality_rules, secret_scan, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,3 +188,74 @@ def op12_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query(r"""
+WITH RECURSIVE checks AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(
+    [n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entry),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations),
+kinds AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+    [4294967295] || list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, x: xor(c >> 8, entry[1 + (xor(c, x) & 255)]))) % 20 AS kind
+  FROM keyed, checks),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM kinds, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+placed AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i
+  FROM damaged),
+rows AS (
+  SELECT conv_id, turn, role, text, initial, i,
+         CASE WHEN trimmed = '' THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id),
+-- a .. d: cheapest way to the states nothing yet, after system, after user, after assistant; u, v: with turns inserted
+walk(conv_id, i, a, b, c, d) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]},
+         {'cost': 9999999, 'audit': '', 'lines': []::VARCHAR[]}, {'cost': 9999999, 'audit': '', 'lines': []::VARCHAR[]},
+         {'cost': 9999999, 'audit': '', 'lines': []::VARCHAR[]}
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, i + 1,
+         {'cost': a.cost + 3, 'audit': a.audit || 'D', 'lines': a.lines},
+         list_sort([{'cost': b.cost + 3, 'audit': b.audit || 'D', 'lines': b.lines},
+                    {'cost': a.cost + stays + CASE WHEN initial = 's' THEN 0 ELSE 9999999 END, 'audit': a.audit || 'K', 'lines': a.lines || [role || ':' || text]}])[1],
+         list_sort([{'cost': u.cost + 3, 'audit': u.audit || 'D', 'lines': u.lines}] || flatten(list_transform([a, b, v], lambda x: [
+                    {'cost': x.cost + stays + CASE WHEN initial = 'u' THEN 0 ELSE 9999999 END, 'audit': x.audit || 'K', 'lines': x.lines || [role || ':' || text]},
+                    {'cost': x.cost + stays + 2, 'audit': x.audit || 'R', 'lines': x.lines || ['user:' || text]}])))[1],
+         list_sort([{'cost': v.cost + 3, 'audit': v.audit || 'D', 'lines': v.lines},
+                    {'cost': u.cost + stays + CASE WHEN initial = 'a' THEN 0 ELSE 9999999 END, 'audit': u.audit || 'K', 'lines': u.lines || [role || ':' || text]},
+                    {'cost': u.cost + stays + 2, 'audit': u.audit || 'R', 'lines': u.lines || ['assistant:' || text]}])[1]
+  FROM (
+    SELECT *, list_sort([d, {'cost': u.cost + 2, 'audit': u.audit || 'I', 'lines': u.lines || ['assistant:']}])[1] AS v
+    FROM (
+      SELECT walk.*, role, text, initial,
+             CASE fault WHEN 'truncated' THEN 1 WHEN 'fine' THEN 0 ELSE 9999999 END AS stays,
+             list_sort([c] || list_transform([a, b, d], lambda x: {'cost': x.cost + 2, 'audit': x.audit || 'I', 'lines': x.lines || ['user:']}))[1] AS u
+      FROM walk JOIN rows ON rows.conv_id IS NOT DISTINCT FROM walk.conv_id AND rows.i = walk.i + 1))),
+ends AS (
+  SELECT conv_id, list_sort([a, d, {'cost': u.cost + 2, 'audit': u.audit || 'I', 'lines': u.lines || ['assistant:']}])[1] AS best
+  FROM (SELECT *, list_sort([c] || list_transform([a, b], lambda x: {'cost': x.cost + 2, 'audit': x.audit || 'I', 'lines': x.lines || ['user:']}))[1] AS u
+        FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1))
+SELECT ends.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(best.cost AS BIGINT) AS cost, best.audit AS audit,
+       sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+FROM ends LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ends.conv_id
+""")
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_report(conversation_repair.damage(table(spark, sf_dir, "conversations")))
