@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sheetwise.catalog.registry import (
     DIRTY_LINEITEM, ORDERS_WITH_GAPS, dirty_lineitem, orders_with_gaps, query, table,
 )
@@ -53,6 +55,20 @@ def deep_page(spark, sf_dir):
     return views.page(lines, number, 1000, "l_extendedprice", "desc")
 
 
+@query("""
+SELECT o_orderstatus, CAST(o_orderkey AS VARCHAR) AS order_key, o_orderpriority AS priority
+FROM orders ORDER BY o_orderstatus, order_key, priority
+LIMIT 100 OFFSET (SELECT (count(*) // 2) // 100 * 100 FROM orders)
+""")
+def deep_page_with_map(spark, sf_dir):
+    """A page amid thousands of rows that differ in a map alone."""
+    entries = F.create_map(F.lit("priority"), "o_orderpriority", F.lit("key"), F.col("o_orderkey").cast("string"))
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", entries.alias("more"))
+    number = orders.count() // 2 // 100 + 1
+    found = views.page(orders, number, 100, "o_orderstatus")
+    return found.select("o_orderstatus", F.col("more")["key"].alias("order_key"), F.col("more")["priority"].alias("priority"))
+
+
 @query("""
 WITH ranked AS (SELECT * FROM orders ORDER BY o_totalprice NULLS LAST, o_orderkey)
 SELECT * FROM ranked LIMIT 100 OFFSET 100

@@ -60,6 +60,35 @@ def row_key(field: T.StructField) -> Column:
     return F.unhex(F.sha2(value, 256)) if is_text(field.dataType) else value
 
 
+def _unordered(dtype: T.DataType) -> bool:
+    """Whether Spark cannot sort by the type."""
+    if isinstance(dtype, T.ArrayType):
+        return _unordered(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(_unordered(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+
+def sortable(value: Column, dtype: T.DataType) -> Column:
+    """The value in a form that sorts: maps, at any depth, as their entries in order of the keys.
+
+    Two values have the same form only if they are equal (maps: whatever the order of their entries).
+    """
+    if not _unordered(dtype):
+        return value
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: sortable(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        parts = [sortable(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*parts))
+    if isinstance(dtype, T.MapType):
+        entry = lambda e: F.struct(
+            sortable(e["key"], dtype.keyType).alias("key"), sortable(e["value"], dtype.valueType).alias("value")
+        )
+        return F.array_sort(F.transform(F.map_entries(value), entry))
+    return F.to_json(value) if isinstance(dtype, T.VariantType) else value.cast("string")
+
+
 def chunks(items: list, size: int) -> Iterable[list]:
     for start in range(0, len(items), size):
         yield items[start : start + size]

@@ -86,6 +86,45 @@ def test_deep_page_of_equal_rows(spark, monkeypatch):
     assert found == list(range(100))
 
 
+def test_pages_of_a_table_with_maps_partition_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(table, "NEAR_ROWS", 50)
+    monkeypatch.setattr(table, "SAMPLE", 400)
+    nested = F.array(F.create_map(F.col("id") % 4, F.struct(F.create_map(F.lit("x"), F.col("id") % 3))))
+    df = spark.range(0, 6000, 1, 8).select(
+        F.lit(1).alias("same"),
+        F.when(F.col("id") % 50 != 0, F.map_from_arrays(F.array(F.lit("b"), F.lit("a")), F.array(F.col("id"), F.col("id") % 5))).alias("m"),
+        nested.alias("nested"),
+    )
+    df = df.unionAll(df.limit(0)).unionAll(spark.range(0, 300, 1, 3).select(F.lit(1), F.create_map(F.lit("a"), F.lit(0).cast("bigint")), F.array()))
+    form = lambda r: (tuple(sorted((r["m"] or {"none": 0}).items())), repr(r["nested"]))
+    wanted = [form(r) for r in table.sort_rows(df, "same").collect()]
+    found = []
+    for number in (1, 2, 15, 16, 17, 40, 62, 63, 64):
+        rows = [form(r) for r in table.page(df, number, 100, "same").collect()]
+        assert rows == wanted[(number - 1) * 100 : number * 100]
+        found += rows
+    assert len(found) == 800 and len(set(found)) > 400
+    last = table.page(df, 16, 100, "same").collect()[-1]
+    after = table.page_after(df, last.asDict(), 100, "same").collect()
+    assert [form(r) for r in after] == wanted[1600:1700]
+
+
+def test_page_behind_the_end_is_empty(spark):
+    assert table.page(spark.range(5000), 100, 100).count() == 0
+    assert table.page(spark.range(5000), 51, 100, "id").count() == 0
+    assert table.page(spark.range(5000), 50, 100, "id", total_rows=5000).count() == 100
+
+
+def test_deep_page_takes_few_jobs(spark):
+    df = spark.range(0, 400_000, 1, 8).select((F.col("id") * 7919 % 400_000).alias("x"))
+    group = "deep page"
+    spark.sparkContext.setJobGroup(group, group)
+    found = [r["x"] for r in table.page(df, 3001, 100, "x").collect()]
+    assert found == list(range(300_000, 300_100))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 8
+    spark.sparkContext.setJobGroup("", "")
+
+
 @pytest.mark.parametrize("page, size", [(0, 10), (1, 0)])
 def test_bad_page(spark, page, size):
     with pytest.raises(ValueError):
