@@ -51,8 +51,8 @@ LIMIT 1000 OFFSET (SELECT (count(*) * 9 // 10) // 1000 * 1000 FROM dirty)
 def deep_page(spark, sf_dir):
     """A page after nine tenths of the rows."""
     lines = dirty_lineitem(spark, sf_dir)
-    number = lines.count() * 9 // 10 // 1000 + 1
-    return views.page(lines, number, 1000, "l_extendedprice", "desc")
+    total = lines.count()
+    return views.page(lines, total * 9 // 10 // 1000 + 1, 1000, "l_extendedprice", "desc", total_rows=total)
 
 
 @query("""
