@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from sheetwise.functions.columns import ROW_ID, col, is_float, present
 from sheetwise.functions.text import na_to_null
 from sheetwise.operators.profile import first_rows
+from sheetwise.sources.csv_records import csv_records
 from sheetwise.sources.inference import infer_types
 
 CSV_OPTIONS = {"escape": '"', "emptyValue": "", "nullValue": ""}
@@ -63,18 +64,18 @@ def read_csv(
     """Read CSV with a header line, NA tokens as missing, and types found from the values.
 
     Finding types reads the text once more; pass ``schema`` to cast to known types instead.
-    Line breaks inside quotes are found by one more pass over the lines and make files that
-    cannot be split; ``multi_line=True`` spares that pass, ``multi_line=False`` raises if a quote
-    is still open at the end of a line. A row with fewer
+    A pass over the lines finds out whether a quote is open at the end of one; if so, records are framed
+    split by split (`csv_records`) instead of line by line. ``multi_line=True`` spares that pass,
+    ``multi_line=False`` raises if there is such a line. A row with fewer
     cells than the header is filled with missing values, one with more raises, whichever columns
     are read.
     """
     broken = [] if multi_line else _open_quotes(spark, path)
     if broken and multi_line is False:
         raise ValueError(f"{path}: a quote is open at the end of a line ({broken[0]!r}); read with multi_line=True")
-    options = {**CSV_OPTIONS, "multiLine": bool(multi_line or broken)}
+    framed = bool(multi_line or broken)
     if schema is None:
-        header = spark.read.csv(path, header=False, **options).first()
+        header = spark.read.csv(path, header=False, multiLine=framed, **CSV_OPTIONS).first()
         if header is None:
             raise ValueError(f"No header line in {path}")
         exact = spark.conf.get("spark.sql.caseSensitive") == "true"
@@ -83,10 +84,13 @@ def read_csv(
         names = schema.names
     raw = free_name(names, "_raw_row")
     texts = T.StructType([T.StructField(n, T.StringType()) for n in [*names, raw]])
-    whole_rows = spark.read.option("columnPruning", False).option("columnNameOfCorruptRecord", raw)
-    table = whole_rows.csv(path, schema=texts, header=True, **options)
-    table = table.filter(_not_too_long(col(raw), col(names[0]), len(names), options))
-    if row_id:
+    if framed:
+        table = _framed(spark, path, texts, raw, row_id)
+    else:
+        whole_rows = spark.read.option("columnPruning", False).option("columnNameOfCorruptRecord", raw)
+        table = whole_rows.csv(path, schema=texts, header=True, **CSV_OPTIONS)
+    table = table.filter(_not_too_long(col(raw), col(names[0]), len(names)))
+    if row_id and not framed:
         table = _with_row_id(table, F.monotonically_increasing_id())
     kept = [ROW_ID] if row_id else []
     filled = {n: na_to_null(col(n)) for n in names}
@@ -96,6 +100,16 @@ def read_csv(
     return table.select(*[filled[f.name].cast(f.dataType).alias(f.name) for f in schema], *kept)
 
 
+def _framed(spark: SparkSession, path: str, texts: T.StructType, raw: str, row_id: bool) -> DataFrame:
+    """Texts of all cells, from records that may hold line breaks."""
+    records = csv_records(spark, path, paths=row_id).filter(~F.col("header"))
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in texts)
+    cells = F.from_csv("value", ddl, {**CSV_OPTIONS, "columnNameOfCorruptRecord": raw, "maxCharsPerColumn": "-1"})
+    position = F.struct(F.col("path").alias("file"), "row").alias(ROW_ID)
+    parsed = records.select(cells.alias("cells"), *([position] if row_id else []))
+    return parsed.select("cells.*", *([ROW_ID] if row_id else []))
+
+
 def free_name(taken: list[str], name: str) -> str:
     while name.lower() in {t.lower() for t in taken}:
         name = f"_{name}"
@@ -109,7 +123,7 @@ def _open_quotes(spark: SparkSession, path: str) -> list[str]:
     return [r[0] for r in lines.filter(quotes % 2 == 1).limit(1).select(F.substring("value", 1, 60)).collect()]
 
 
-def _not_too_long(raw: Column, first: Column, cells: int, options: dict) -> Column:
+def _not_too_long(raw: Column, first: Column, cells: int) -> Column:
     """True, or an error for a row with more cells than the header.
 
     The error names the first cell; Spark does not read ``raw`` without some other column. ``raw`` is the text of rows with a wrong number of cells, NULL for others. A mark put behind
@@ -118,7 +132,7 @@ def _not_too_long(raw: Column, first: Column, cells: int, options: dict) -> Colu
     marked = F.from_csv(
         F.concat(raw, F.lit(f",{END_MARK}")),
         ", ".join(f"c{i} string" for i in range(cells + 1)),
-        {k: str(v) for k, v in options.items() if k != "multiLine"},
+        CSV_OPTIONS,
     )
     ends = reduce(lambda a, b: a | b, (marked[f"c{i}"].eqNullSafe(F.lit(END_MARK)) for i in range(cells + 1)))
     too_long = F.raise_error(
