@@ -5,8 +5,6 @@ These write a copy of a whole table under the shared folder and read it back.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from sheetwise.catalog.registry import query, table
@@ -97,7 +95,7 @@ def type_inference(spark, sf_dir):
 SELECT o_orderkey,
        CASE WHEN o_totalprice >= 10000 THEN o_orderdate END AS month_first,
        o_orderdate AS day_first, o_orderdate AS minutes, o_orderdate AS zoned,
-       o_orderdate AS month_first_time, o_orderdate AS month_name,
+       o_orderdate AS month_first_time, o_orderdate AS month_name, o_orderdate AS free_form,
        CASE WHEN o_orderstatus = 'O' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'later' END AS too_few
 FROM orders
 """)
@@ -115,6 +113,10 @@ def date_detection(spark, sf_dir):
             F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("zoned"),
             F.date_format("o_orderdate", "M/d/yyyy H:mm:ss").alias("month_first_time"),
             F.date_format("o_orderdate", "dd-MMM-yyyy").alias("month_name"),
+            F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "MMMM d, yyyy"))
+            .when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "d MMM yyyy HH:mm"))
+            .otherwise(F.date_format("o_orderdate", "EEEE, MMM d yyyy h:mm:ss a"))
+            .alias("free_form"),
             F.when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "yyyy-MM-dd"))
             .otherwise("later")
             .alias("too_few"),
@@ -143,17 +145,9 @@ TABLES = [
 ))
 def registry_tables(spark, sf_dir):
     """Every table that the registry lists in the folder, with its rows."""
-    listed = registry.datasets(spark, sf_dir).orderBy("file_path").collect()
-    sizes = [
-        read_table(spark, row["file_path"]).agg(
-            F.lit(row["name"]).alias("name"),
-            F.lit(row["original_filename"]).alias("original_filename"),
-            F.lit(row["file_type"]).alias("file_type"),
-            F.count(F.lit(1)).alias("total_rows"),
-        )
-        for row in listed
-    ]
-    return reduce(lambda a, b: a.unionByName(b), sizes)
+    listed = registry.datasets(spark, sf_dir).join(registry.row_counts(spark, sf_dir), "file_path", "left")
+    rows = F.coalesce("total_rows", F.lit(0)).alias("total_rows")
+    return listed.orderBy("file_path").select("name", "original_filename", "file_type", rows)
 
 
 @query("SELECT * FROM customer WHERE c_name = 'Customer#000000042' ORDER BY c_custkey LIMIT 1")

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,10 +15,16 @@ from sheetwise.functions.columns import (
 )
 from sheetwise.operators.quantiles import grouped_quantiles
 from sheetwise.operators.schema import classify, column_class, fields_of
+from sheetwise.session import shared_folder
 
 # The statistics that a metric card can show.
 METRICS = ("mean", "median", "sum", "min", "max")
 
+#: Characters of a long label that are shuffled with its digest.
+HEAD = 64
+#: Long labels of the result up to which their digests (about a hundred bytes each) are broadcast.
+BROADCAST_LABELS = 100_000
+
 
 def _empty(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
@@ -47,15 +53,57 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return counted.orderBy("column", F.desc("count"), F.asc_nulls_last("label"))
 
 
-def top_categories(df: DataFrame, n: int = 10, columns: list[str] | None = None) -> DataFrame:
-    """The n most frequent labels of every categorical column: (column, position, label, count)."""
-    ranked = Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("label"))
-    return (
-        label_counts(df, columns)
-        .withColumn("position", F.row_number().over(ranked))
-        .filter(F.col("position") <= n)
-        .select("column", "position", "label", "count")
-    )
+def _label_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(c, label): the number of a column and its labels, one row per cell."""
+    cells = [
+        F.struct(F.lit(i).alias("c"), present(f).cast("string").alias("label"))
+        for i, f in enumerate(fields_of(df, columns))
+    ]
+    return df.select(F.inline(F.array(*cells)))
+
+
+def label_key(label: Column) -> list[Column]:
+    """What stands for a label in a shuffle: short ones themselves, long ones a beginning and a digest."""
+    long = F.char_length(label) > HEAD
+    return [F.substring(label, 1, HEAD).alias("head"), F.when(long, F.unhex(F.sha2(label, 256))).alias("digest")]
+
+
+def counted_labels(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(c, head, digest, count): labels counted without moving the texts of long ones."""
+    keys = _label_cells(df, columns).select("c", *label_key(F.col("label")))
+    return keys.groupBy("c", "head", "digest").agg(F.count(F.lit(1)).alias("count"))
+
+
+def top_categories(
+    df: DataFrame, n: int = 10, columns: list[str] | None = None, counted: DataFrame | None = None
+) -> DataFrame:
+    """The n most frequent labels of every categorical column: (column, position, label, count).
+
+    Labels are counted by `label_key`, and the n best by count and beginning stay, with all that tie
+    with the last of them. Only if some of those are long, the table is read again for their texts. Give ``counted``
+    if the labels have been counted already.
+    """
+    columns = classify(df)["categorical"] if columns is None else columns
+    if not columns:
+        return _empty(df, "column string, position int, label string, count bigint")
+    shared_folder(df.sparkSession)
+    best = Window.partitionBy("c").orderBy(F.desc("count"), F.asc_nulls_last("head"))
+    counted = counted_labels(df, columns) if counted is None else counted
+    kept = counted.withColumn("at", F.rank().over(best)).filter(F.col("at") <= n).drop("at").checkpoint()
+    long = kept.filter(F.col("digest").isNotNull())
+    wanted = long.count()
+    labels = kept.filter(F.col("digest").isNull()).select("c", F.col("head").alias("label"), "count")
+    if wanted:
+        keys = long.select("c", "digest", "count")
+        texts = _label_cells(df, columns).filter(F.char_length("label") > HEAD)
+        texts = texts.withColumn("digest", label_key(F.col("label"))[1])
+        found = texts.join(F.broadcast(keys) if wanted <= BROADCAST_LABELS else keys, ["c", "digest"])
+        labels = labels.unionByName(
+            found.groupBy("c", "digest", "count").agg(F.any_value("label").alias("label")).drop("digest")
+        )
+    ranked = Window.partitionBy("c").orderBy(F.desc("count"), F.asc_nulls_last("label"))
+    placed = labels.withColumn("position", F.row_number().over(ranked)).filter(F.col("position") <= n)
+    return placed.select(name_of(F.col("c"), columns).alias("column"), "position", "label", "count")
 
 
 def distinct_labels(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -55,9 +55,9 @@ def _next_quoted(line: bytes, at: int) -> int:
     return -1 if found < 0 else found + 2
 
 
-def text_lines(spark: SparkSession, path: str | list[str], paths: bool = False) -> DataFrame:
+def text_lines(spark: SparkSession, path: str | list[str], paths: bool = False, **options: str) -> DataFrame:
     """``file, block, line, path``: lines as bytes, with the split that they come from; the path only if wanted."""
-    lines = spark.read.text(path, lineSep="\n")
+    lines = spark.read.options(**options).text(path, lineSep="\n")
     return lines.select(
         F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -216,14 +216,14 @@ def _frame(openers: dict[tuple[int, int], int], whole: bool):
     return frame
 
 
-def csv_records(spark: SparkSession, path: str | list[str], paths: bool = False) -> DataFrame:
+def csv_records(spark: SparkSession, path: str | list[str], paths: bool = False, **options: str) -> DataFrame:
     """``file, row, header, value, path``: the text of every record of CSV files, line breaks inside quotes included.
 
     ``row`` grows in the order of a file and ``header`` marks its first record. Records end with a newline,
     a carriage return before it is left out; blank lines are no records. A quote that is never closed keeps
-    the rest of the file in one record. The path is only given if wanted.
+    the rest of the file in one record. The path is only given if wanted; ``options`` choose the files.
     """
-    lines = text_lines(spark, path, paths)
+    lines = text_lines(spark, path, paths, **options)
     openers = open_splits(lines)
     names = ["file", "row", "header", "value", "path"]
     found = lines.mapInArrow(_frame(openers, True), FRAMES).select(*names)
@@ -237,7 +237,7 @@ def csv_records(spark: SparkSession, path: str | list[str], paths: bool = False)
     return found.withColumn("value", F.regexp_replace(F.col("value").cast("string"), "\r$", ""))
 
 
-def record_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def record_counts(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """``path, total_rows``: records per CSV file without its header, for any number of files."""
-    records = csv_records(spark, path, paths=True)
+    records = csv_records(spark, path, paths=True, **options)
     return records.groupBy("path").agg(F.count_if(~F.col("header")).alias("total_rows"))

@@ -1,4 +1,4 @@
-"""Column types and dates found from text, with one job for all columns."""
+"""Column types and dates found from text: one job for all columns, and one for those that look like dates."""
 
 from __future__ import annotations
 
@@ -6,41 +6,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions import text
-from sheetwise.functions.columns import ROW_ID, col, is_text
+from sheetwise.functions.columns import ROW_ID, chunks, col, is_text
 
 #: Share of all rows (blanks included) that must parse for a text column to become a date.
 DATE_SHARE = 0.8
+#: Columns and formats that are parsed in one aggregate.
+FORMATS_AT_ONCE = 20
 
 
-def text_evidence(df: DataFrame, columns: list[str]) -> list:
+def text_evidence(df: DataFrame, columns: list[str]) -> list[dict | None]:
     """Per column: rows, filled values, and how many of them fit each type and date format.
 
-    Returns one driver row per column. Values are counted per column inside each task, so
-    the shuffle holds one row per column and task.
+    Values are counted by their look (`text.look`), of which a column has few, and types and formats are tried
+    on the looks. Only values whose look leaves a type open are tried themselves. A second job counts what parses of the
+    columns that look like dates, by the formats that their looks allow.
     """
     cells = F.array(
         *[F.struct(F.lit(i).alias("c"), col(name).alias("v")) for i, name in enumerate(columns)]
     )
-    v = F.col("v")
-    counts = [
+    v, look, n = F.col("v"), F.col("look"), F.col("n")
+    unclear = look.isNull() | (F.char_length("v") > text.SAFE_DIGITS)
+    powers = look.isNull() | (F.contains(look, F.lit("a")) & (F.substring(look, 1, 1) != "a"))
+    looks = df.select(F.inline(cells)).withColumn("look", text.look(v)).groupBy("c", "look").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count(v).alias("filled"),
-        F.count(text.to_integer(v)).alias("bigint"),
-        F.count(text.to_double(v)).alias("double"),
+        F.count(v).alias("n"),
+        F.count(F.when(unclear, text.to_integer(v))).alias("integers"),
+        F.count(F.when(~unclear, F.lit(1))).alias("short"),
+        F.count(F.when(powers, text.to_double(v))).alias("powers"),
         F.count(text.to_boolean(v)).alias("boolean"),
-        *[
-            F.count(
-                F.when(F.col("shape") == text.shape_position(i), text.parse_shaped(v, i))
-            ).alias(f"date{i}")
-            for i in range(len(text.DATE_FORMATS))
-        ],
-    ]
-    shaped = df.select(F.inline(cells)).withColumn("shape", text.date_shape(v))
-    found = shaped.groupBy("c").agg(*counts).collect()
-    by_column = {row["c"]: row for row in found}
+    )
+    integer = F.when(look.isNull(), F.col("integers")).when(look.rlike(text.INTEGER_LOOK), F.col("short") + F.col("integers"))
+    double = F.when(look.rlike(text.DOUBLE_LOOK), n).otherwise(F.col("powers"))
+    formats = range(len(text.DATE_FORMATS))
+    total = lambda count: F.coalesce(F.sum(count), F.lit(0))
+    found = looks.groupBy("c").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("n").alias("filled"),
+        total(integer).alias("bigint"),
+        total(double).alias("double"),
+        F.sum("boolean").alias("boolean"),
+        *[total(F.when(look.rlike(text.date_look(i)), n)).alias(f"date{i}") for i in formats],
+    )
+    by_column = {row["c"]: row.asDict() for row in found.collect()}
+    _count_dates(df, columns, by_column)
     return [by_column.get(i) for i in range(len(columns))]
 
 
+def _count_dates(df: DataFrame, columns: list[str], evidence: dict[int, dict]) -> None:
+    """Replace the number of values that look like a format by the number that parse, 0 if they are too few anyway."""
+    wanted = []
+    for c, row in evidence.items():
+        typed = row["filled"] in (row["bigint"], row["double"], row["boolean"])
+        for i in range(len(text.DATE_FORMATS)):
+            if not typed and row[f"date{i}"] / max(row["rows"], 1) >= DATE_SHARE:
+                wanted.append((c, i))
+            else:
+                row[f"date{i}"] = 0
+    for part in chunks(wanted, FORMATS_AT_ONCE):
+        parsed = [F.count(text.to_timestamp(col(columns[c]), text.DATE_FORMATS[i][0])) for c, i in part]
+        for (c, i), count in zip(part, df.agg(*parsed).first(), strict=True):
+            evidence[c][f"date{i}"] = count
+
+
 def date_format_of(evidence) -> str | None:
     """Format that parses most values (first in the list on a tie), if it parses enough."""
     if evidence is None:

@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetwise.sources.csv_records import record_counts
+
+
+def _data_set(path: Column, folder: str) -> Column:
+    """Path of the data set that a file belongs to: the file or folder right below ``folder``."""
+    inside = f"{urlparse(folder).path.rstrip('/')}/"
+    start = F.locate(inside, path) + len(inside)
+    return F.concat(F.substr(path, F.lit(1), start - 1), F.regexp_extract(F.substr(path, start), "^[^/]+", 0))
+
 
 def datasets(spark: SparkSession, folder: str) -> DataFrame:
     """(name, original_filename, file_path, file_size, file_type, created_at) per data set.
@@ -15,16 +24,11 @@ def datasets(spark: SparkSession, folder: str) -> DataFrame:
     is read, not the contents.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    inside = f"{urlparse(folder).path.rstrip('/')}/"
-    start = F.locate(inside, F.col("path")) + len(inside)
-    file = F.regexp_extract(F.substr("path", start), "^[^/]+", 0)
     sets = (
-        listed.select("path", "length", "modificationTime", file.alias("file"))
-        .withColumn("file_path", F.concat(F.substr("path", F.lit(1), start - 1), F.col("file")))
-        .groupBy("file_path", "file")
-        .agg(
-            F.sum("length").alias("file_size"), F.max("modificationTime").alias("created_at")
-        )
+        listed.select("length", "modificationTime", _data_set(F.col("path"), folder).alias("file_path"))
+        .groupBy("file_path")
+        .agg(F.sum("length").alias("file_size"), F.max("modificationTime").alias("created_at"))
+        .withColumn("file", F.regexp_extract("file_path", "[^/]+$", 0))
     )
     return sets.select(
         F.regexp_replace("file", r"\.[^.]+$", "").alias("name"),
@@ -36,6 +40,21 @@ def datasets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def row_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_path, total_rows) of all Parquet and CSV data sets in a folder, in one plan whatever their number.
+
+    No column of a Parquet file is read, only the row counts in its footer; records of CSV files are
+    framed but not parsed, and their headers are not counted.
+    """
+    nested = {"recursiveFileLookup": "true"}
+    parquet = spark.read.options(**nested, pathGlobFilter="*.parquet").schema("no_column boolean").parquet(folder)
+    rows = parquet.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("total_rows"))
+    csv = record_counts(spark, folder, **nested, pathGlobFilter="*.csv")
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))  # the listing has paths as they are written
+    counted = rows.unionByName(csv).groupBy(_data_set(path, folder).alias("file_path"))
+    return counted.agg(F.sum("total_rows").alias("total_rows"))
+
+
 def recent(registry: DataFrame, limit: int = 50) -> DataFrame:
     """Newest data sets first."""
     return registry.orderBy(F.desc("created_at"), "file_path").limit(limit)

@@ -4,7 +4,10 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from sheetwise.operators.charts import ChartError, all_charts, chart
+from sheetwise.operators.histogram import histogram, histograms
 from sheetwise.plans import analysis, dashboard
 
 SPEC_ERRORS = [
@@ -128,3 +131,28 @@ def test_text_only_table_gets_charts(spark):
     specs = dashboard.recommend_charts(df)
     assert 2 <= len(specs) <= 8
     assert all("error" not in r for r in dashboard.recommended_dashboard(df))
+
+
+def test_histograms_share_two_passes(spark, plan_of):
+    orders = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    names = ["l_extendedprice", "l_quantity", "l_discount", "l_orderkey"]
+    found = histograms(orders, names, 10)
+    assert plan_of(found).count("Scan parquet") <= 2  # one scan, named twice; the buckets are kept
+    for name in names:
+        one = [tuple(r) for r in histogram(orders, name, 10).collect()]
+        assert [tuple(r)[1:] for r in found.filter(F.col("column") == name).collect()] == one
+
+
+def test_histograms_of_odd_columns(spark):
+    inf = float("inf")
+    rows = [(float(i), None, 7.0, inf if i == 3 else 1.0, i * 1e-300, bool(i % 2), -(2.0**i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, empty double, same double, endless double, tiny double, flag boolean, wide double")
+    names = ["a", "empty", "same", "endless", "tiny", "flag", "wide"]
+    found = histograms(df, names, 7, strict=False).collect()
+    for name in ("a", "same", "tiny", "flag", "wide"):
+        assert [tuple(r)[1:] for r in found if r["column"] == name] == [tuple(r) for r in histogram(df, name, 7).collect()]
+    assert {r["column"] for r in found} == {"a", "same", "tiny", "flag", "wide"}
+    with pytest.raises(Exception, match="infinite"):
+        histograms(df, names, 7).collect()
+    charts_of = all_charts(df, [{"type": "histogram", "column": n} for n in names])
+    assert [c["type"] for c in charts_of if "error" in c] == ["histogram"] * 2

@@ -15,7 +15,7 @@ from sheetwise.sources.readers import read_csv, read_head
 @pytest.fixture()
 def small_splits(spark):
     old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     yield
     for k, v in old.items():
@@ -41,34 +41,34 @@ def written(rng: random.Random, rows: int, end: str = "\n") -> tuple[str, list[l
     return out.getvalue(), table[1:]
 
 
-@pytest.mark.parametrize("seed, end", [(1, "\n"), (2, "\n"), (3, "\r\n")])
+@pytest.mark.parametrize("seed, end", [(1, "\n"), (3, "\r\n")])
 def test_records_over_many_splits(spark, tmp_path, small_splits, seed, end):
     rng, wanted = random.Random(seed), []
     folder = tmp_path / "many.csv"
     folder.mkdir()
-    for i in range(3):
+    for i in range(2):
         text, rows = written(rng, 150, end)
         (folder / f"part{i}.csv").write_bytes(text.encode())
         wanted += rows
     lines = csv_records.text_lines(spark, str(folder))
     openers = csv_records.open_splits(lines)
-    assert lines.rdd.getNumPartitions() > 30 and len(openers) > 5
-    assert any(block - opener > 700 for (_, block), opener in openers.items())  # records over several splits
+    assert lines.rdd.getNumPartitions() > 15 and len(openers) > 5
+    assert any(block - opener > 1500 for (_, block), opener in openers.items())  # records over several splits
     found = [r["value"] for r in csv_records.csv_records(spark, str(folder)).filter("not header").collect()]
     parsed = [next(csv.reader(io.StringIO(v, newline=""), strict=False)) for v in found]
     assert sorted(parsed) == sorted(wanted)
     table = read_csv(spark, str(folder), detect_dates=False)
     assert sorted((r["id"], r["second"]) for r in table.collect()) == sorted((int(r[0]), r[2]) for r in wanted)
     counts = csv_records.record_counts(spark, str(folder)).collect()
-    assert [r["total_rows"] for r in counts] == [150] * 3
+    assert [r["total_rows"] for r in counts] == [150] * 2
 
 
 def test_one_quoted_break_leaves_the_splits(spark, tmp_path, small_splits):
     path = tmp_path / "long.csv"
-    path.write_text("a,b\n" + "1,x\n" * 3000 + '2,"two\nlines"\n' + "3,y\n" * 3000)
+    path.write_text("a,b\n" + "1,x\n" * 6000 + '2,"two\nlines"\n' + "3,y\n" * 3000)
     table = read_csv(spark, str(path))
     assert table.rdd.getNumPartitions() > 20
-    assert table.count() == 6001 and table.filter("b = 'two\nlines'").count() == 1
+    assert table.count() == 9001 and table.filter("b = 'two\nlines'").count() == 1
     head = read_head(spark, str(path), 3)
     assert [tuple(r) for r in head.collect()] == [(1, "x")] * 3
 

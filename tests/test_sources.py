@@ -1,15 +1,19 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheetwise.catalog.files import registry_tables
+from sheetwise.functions import text
 from sheetwise.functions.columns import ROW_ID
 from sheetwise.operators.profile import _first_files, first_rows
 from sheetwise.plans.cleaning_run import run_steps
 from sheetwise.session import shared_folder
 from sheetwise.sources import registry
+from sheetwise.sources.inference import detect_dates, text_evidence
 from sheetwise.sources.readers import header_names, read_csv, read_head, read_table
 from sheetwise.sources.writers import write_table
 
@@ -268,3 +272,46 @@ def test_registry_lists_every_table(spark, tmp_path):
         spark.range(i).coalesce(1).write.parquet(str(tmp_path / f"t{i:02}.parquet"))
     found = registry_tables(spark, str(tmp_path)).collect()
     assert [(r["name"], r["total_rows"]) for r in found] == [(f"t{i:02}", i) for i in range(60)]
+
+
+def test_rows_of_a_registry_come_from_one_plan(spark, tmp_path):
+    tmp_path = tmp_path / "a b%c+é"
+    tmp_path.mkdir()
+    for i in range(5):
+        spark.range(i * 10).write.parquet(str(tmp_path / f"t{i}.parquet"))
+    (tmp_path / "a.csv").write_text('x,y\n1,"two\nlines"\n2,z\n')
+    (tmp_path / "b.csv").mkdir()
+    for i in range(3):
+        (tmp_path / "b.csv" / f"part{i}.csv").write_text("x\n" + "1\n" * i)
+    counts = registry.row_counts(spark, str(tmp_path))
+    found = {r["file_path"].rsplit("/", 1)[-1]: r["total_rows"] for r in counts.collect()}
+    assert {k: found.get(k, 0) for k in ("t0.parquet", "t1.parquet", "t4.parquet", "a.csv", "b.csv")} == {
+        "t0.parquet": 0, "t1.parquet": 10, "t4.parquet": 40, "a.csv": 2, "b.csv": 3,
+    }
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 3
+
+
+@pytest.mark.parametrize("written, wanted", [
+    ("May 1 2024", "2024-05-01 00:00:00"), ("1 May 2024 10:00", "2024-05-01 10:00:00"), ("Sept. 30th, 2023", "2023-09-30 00:00:00"),
+    ("Tuesday, December 31 1999 at 11:59:58.5 p.m.", "1999-12-31 23:59:58.500000"), ("12-February-2024 12:05 AM", "2024-02-12 00:05:00"),
+    ("30 Feb 2024", None), ("May 1 2024 13:00 pm", None), ("Mai 1 2024", None), ("May 2024", None), ("1.12.2024", "2024-12-01 00:00:00"),
+])
+def test_free_dates(spark, written, wanted):
+    df = spark.createDataFrame([(written,)] + [("2 June 2024" if "." != written[1] else "2.6.2024",)] * 9, "d string")
+    found = detect_dates(df)
+    assert dict(found.dtypes)["d"] == "timestamp_ntz"
+    first = found.first()["d"]
+    assert (None if first is None else str(first)) == wanted
+
+
+def test_types_by_look_equal_types_by_value(spark):
+    rng = random.Random(3)
+    values = ["12", " 7 ", "+5", "-0", "9" * 18, "9" * 19, "9" * 25, "0" * 60 + "5", "1.5", ".5", "5.", "1e3", "1E-3", "inf", "-Infinity", "0x1",
+              "1d", "True", "FALSE", "yes", "2024-01-02", "1/2/2024", "a1", "", "x" * 100, "1" + "0" * 70 + ".5", "e5", ".", "+", "é9", "\t3\n"]
+    columns = [[rng.choice(values[: rng.choice([3, 9, 15, len(values)])]) for _ in range(40)] for _ in range(30)] + [[v] * 40 for v in values]
+    df = spark.createDataFrame([tuple(c[i] for c in columns) for i in range(40)], ", ".join(f"c{i} string" for i in range(len(columns))))
+    evidence = text_evidence(df, df.columns)
+    for i, name in enumerate(df.columns):
+        v = F.col(name)
+        counts = df.agg(F.count(text.to_integer(v)), F.count(text.to_double(v)), F.count(text.to_boolean(v))).first()
+        assert tuple(counts) == tuple(evidence[i][k] for k in ("bigint", "double", "boolean")), columns[i]

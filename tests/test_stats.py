@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -254,6 +256,26 @@ def test_top_categories_limit_before_the_last_shuffle(spark, plan_of):
     assert "WindowGroupLimit" in plan_of(stats.top_categories(spark.read.parquet(LINES)))
 
 
+def test_long_labels_stay_out_of_the_counting_shuffle(spark, plan_of):
+    docs = spark.read.parquet(LINES.replace("lineitem", "documents"))
+    plan = plan_of(stats.counted_labels(docs, ["text", "lang"]))
+    shuffled = re.search(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)", plan).group(1)
+    assert "head" in shuffled and "digest" in shuffled and "label" not in shuffled and "text" not in shuffled
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_top_categories_of_long_labels_that_tie(spark, monkeypatch, limit):
+    monkeypatch.setattr(stats, "BROADCAST_LABELS", limit)
+    same = "é" * 64
+    labels = [same + x for x in "zyxwvuts"] + [same, same[:-1], None, "short", same + "many"] + [same + "many"] * 3 + [None] * 2
+    df = spark.createDataFrame([(x, "k") for x in labels], "t string, s string")
+    found = [tuple(r) for r in stats.top_categories(df, 6).orderBy("column", "position").collect()]
+    counts = Counter(labels)
+    order = sorted(counts, key=lambda x: (-counts[x], x is None, (x or "").encode()))
+    assert found == [("s", 1, "k", len(labels))] + [("t", i, x, counts[x]) for i, x in enumerate(order[:6], 1)]
+
+
+
 def test_group_aggregates(spark):
     df = spark.createDataFrame([("b", 1), ("a", None), (None, 3), ("a", None)], "k string, v int")
 
