@@ -114,7 +114,8 @@ def parse_shaped(value: Column, i: int) -> Column:
     cast without a formatter, so no exception is thrown per bad value."""
     name, shape, rewrite = DATE_FORMATS[i]
     if name == FREE:
-        return _parse_free(F.split(F.regexp_replace(value, shape, rewrite), r"\|"))
+        parts = F.split(F.regexp_replace(value, shape, rewrite), r"\|")
+        return F.transform(F.array(parts), _parse_free)[0]  # the parts are found once a value
     iso = value if rewrite is None else F.regexp_replace(value, shape, rewrite)
     if "HH" in name:  # times without seconds
         iso = F.regexp_replace(iso, r"([T ]\d{1,2}:\d{2})(?=Z|[+-]|$)", "$1:00")

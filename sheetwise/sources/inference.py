@@ -62,9 +62,18 @@ def _count_dates(df: DataFrame, columns: list[str], evidence: dict[int, dict]) -
                 wanted.append((c, i))
             else:
                 row[f"date{i}"] = 0
-    for part in chunks(wanted, FORMATS_AT_ONCE):
-        parsed = [F.count(text.to_timestamp(col(columns[c]), text.DATE_FORMATS[i][0])) for c, i in part]
-        for (c, i), count in zip(part, df.agg(*parsed).first(), strict=True):
+    if not wanted:
+        return
+    # parsing costs many times what a hash aggregate does, and dates repeat: equal texts are parsed once
+    cells = [F.struct(F.lit(c).alias("c"), col(columns[c]).alias("v")) for c in sorted({c for c, _ in wanted})]
+    values = df.select(F.inline(F.array(*cells))).filter(F.char_length("v") <= text.LONGEST_LOOK)
+    distinct = values.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    parsed = [
+        F.coalesce(F.sum(F.when((F.col("c") == c) & text.to_timestamp(F.col("v"), text.DATE_FORMATS[i][0]).isNotNull(), F.col("n"))), F.lit(0))
+        for c, i in wanted
+    ]
+    for part, own in zip(chunks(parsed, FORMATS_AT_ONCE), chunks(wanted, FORMATS_AT_ONCE), strict=True):
+        for (c, i), count in zip(own, distinct.agg(*part).first(), strict=True):
             evidence[c][f"date{i}"] = count
 
 
