@@ -21,22 +21,28 @@ def row_groups(df: DataFrame) -> DataFrame:
     )
 
 
-def quality(df: DataFrame) -> DataFrame:
-    """One row with totals, duplicate share, column lists, score, flags and band.
-
-    One scan and one shuffle of row keys give the row count, the duplicates and the missing
-    cells: a distinct row that occurs n times adds n to each column it lacks.
-    """
-    names = [f.name for f in data_fields(df)]
+def row_counts(df: DataFrame) -> DataFrame:
+    """One row: total_rows, distinct_rows, missing (an array with one count per column)."""
     missing = [
         F.coalesce(F.sum(F.when(F.col(f"k{i}").isNull(), F.col("n"))), F.lit(0))
-        for i in range(len(names))
+        for i in range(len(data_fields(df)))
     ]
-    counted = row_groups(df).agg(
+    return row_groups(df).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
         F.count(F.lit(1)).alias("distinct_rows"),
         F.array(*missing).alias("missing"),
     )
+
+
+def quality(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """One row with totals, duplicate share, column lists, score, flags and band.
+
+    One scan and one shuffle of row keys give the row count, the duplicates and the missing
+    cells: a distinct row that occurs n times adds n to each column it lacks. Give ``counted`` if the rows
+    have been counted already (`row_counts`).
+    """
+    names = [f.name for f in data_fields(df)]
+    counted = row_counts(df) if counted is None else counted
     rows = F.greatest(F.col("total_rows"), F.lit(1))
     listed = [(F.col("missing")[i], F.lit(name)) for i, name in enumerate(names)]
     totals = counted.select(

@@ -51,6 +51,7 @@ def grouped_quantiles(
     keys: list[str],
     probabilities: list[float],
     reread: Callable[[list], DataFrame] | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Count, total, min, max, mean, std and quantiles of column ``v`` per key.
 
@@ -59,17 +60,19 @@ def grouped_quantiles(
     columns q0, q1, …
 
     Give ``reread`` when there is one key column whose number of values is bounded by the
-    schema: it returns the values of the given keys, so that later passes read less.
+    schema: it returns the values of the given keys, so that later passes read less. Give ``counted`` (keys, b,
+    n, lo, hi, s, q) if the buckets have been counted already.
     """
     shared_folder(values.sparkSession)
     base = _bucketed(values, keys)
-    counted = base.groupBy(*keys, "b").agg(
-        F.count("v").alias("n"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-        F.sum("v").alias("s"),
-        (F.var_pop("v") * F.count("v")).alias("q"),
-    )
+    if counted is None:
+        counted = base.groupBy(*keys, "b").agg(
+            F.count("v").alias("n"),
+            F.min("v").alias("lo"),
+            F.max("v").alias("hi"),
+            F.sum("v").alias("s"),
+            (F.var_pop("v") * F.count("v")).alias("q"),
+        )
     key = Window.partitionBy(*keys)
     below = F.sum("n").over(key.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
     deviation = F.try_divide("s", "n") - F.col("mean")

@@ -123,12 +123,13 @@ def numeric_stats(
     columns: list[str] | None = None,
     approx: bool = False,
     bool_as_numeric: bool = False,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """One row per numeric column: position, column, count, min, max, mean, median, std, q1,
     q3, sum.
 
     Exact by default (see `quantiles`); ``approx=True`` takes `percentile_approx` quartiles
-    in a single pass.
+    in a single pass. Give ``counted`` if the buckets have been counted already.
     """
     columns = classify(df, bool_as_numeric)["numeric"] if columns is None else columns
     if not columns:
@@ -156,7 +157,7 @@ def numeric_stats(
             *[points[i].alias(f"q{i}") for i in range(3)],
         )
     else:
-        found = grouped_quantiles(values, ["c"], quartiles, reread=cells)
+        found = grouped_quantiles(values, ["c"], quartiles, reread=cells, counted=counted)
     listed = F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("c")
     every = df.sparkSession.range(1).select(listed)
     return (
@@ -177,9 +178,9 @@ def metric_cards(stats: DataFrame, metric: str = "mean") -> DataFrame:
     return stats.select("position", "column", F.round(metric, 2).alias("value"))
 
 
-def context_stats(df: DataFrame, approx: bool = False) -> DataFrame:
+def context_stats(df: DataFrame, approx: bool = False, counted: DataFrame | None = None) -> DataFrame:
     """Mean, median, min, max and std at two decimals; booleans count as 0 and 1."""
-    stats = numeric_stats(df, approx=approx, bool_as_numeric=True)
+    stats = numeric_stats(df, approx=approx, bool_as_numeric=True, counted=counted)
     return stats.select(
         "position", "column",
         *[F.round(n, 2).alias(n) for n in ("mean", "median", "min", "max", "std")],
@@ -224,14 +225,17 @@ def datetime_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def correlation(
-    df: DataFrame, columns: list[str] | None = None, bool_as_numeric: bool = False
+    df: DataFrame,
+    columns: list[str] | None = None,
+    bool_as_numeric: bool = False,
+    centres: list[dict] | None = None,
 ) -> DataFrame:
     """Pearson correlation of every pair of numeric columns: (col_a, col_b, corr).
 
     A pair uses the rows where both are present; a constant column gives NULL. Fewer than
     two numeric columns give no rows.
 
-    A first pass takes mean and range per column. The second is one scan, whatever the number
+    A first pass takes mean and range per column (or ``centres`` has them). The second is one scan, whatever the number
     of columns and gaps: each batch of rows centred on those means gives the sums of all pairs
     by matrix products with the mask of present values, and each task sends on one row per
     pair. Only pairs whose spread is within rounding of zero are read a third time, for their
@@ -242,7 +246,7 @@ def correlation(
         return _empty(df, "col_a string, col_b string, corr double")
     values = [as_double(f) for f in fields_of(df, columns)]
     table = df.select(*[v.alias(f"x{i}") for i, v in enumerate(values)])
-    centres = _centres(table, len(columns))
+    centres = _centres(table, len(columns)) if centres is None else centres
     means = [c["mean"] if math.isfinite(c["mean"] or 0.0) else 0.0 for c in centres]
     means = [m or 0.0 for m in means]
     sums = (

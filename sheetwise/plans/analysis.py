@@ -11,6 +11,7 @@ from sheetwise.operators import profile as profiles
 from sheetwise.operators import quality as qualities
 from sheetwise.operators import stats
 from sheetwise.operators.schema import classify, column_classes
+from sheetwise.plans.shared_pass import count_all
 
 #: Messages of a conversation that a chat call passes on.
 HISTORY = 6
@@ -21,16 +22,17 @@ CONTEXT_LABELS = 10
 def analyze(df: DataFrame) -> dict[str, DataFrame]:
     """Column classes, statistics per class, correlation and summary.
 
-    Each part is a lazy DataFrame over ``df``; persist ``df`` first when it is costly to
-    compute and all parts are wanted.
+    One pass counts labels, buckets of numbers, dates and rows (`shared_pass`); the quantiles and the
+    correlation read the numeric columns once more each. Needs no `persist`.
     """
+    counts = count_all(df)
     return {
         "columns": column_classes(df),
-        "categorical_statistics": stats.value_counts(df),
-        "numeric_statistics": stats.numeric_stats(df),
-        "correlation_matrix": stats.correlation(df),
-        "datetime_statistics": stats.datetime_stats(df),
-        "dataset_summary": qualities.dataset_summary(df),
+        "categorical_statistics": counts.value_counts(),
+        "numeric_statistics": stats.numeric_stats(df, counted=counts.buckets()),
+        "correlation_matrix": stats.correlation(df, centres=counts.centres()),
+        "datetime_statistics": counts.datetime_stats(),
+        "dataset_summary": qualities.dataset_summary(df, qualities.quality(df, counts.rows())),
     }
 
 
@@ -48,10 +50,10 @@ def build_context(df: DataFrame, head: DataFrame | None = None) -> DataFrame:
     sample rows. Give ``head`` (from `read_head`) to spare the scan for the first rows.
     """
     fields = data_fields(df)
-    profiled = profiles.profile(df)
-    numbers = stats.context_stats(df)
-    pairs = stats.correlation(df, bool_as_numeric=True)
-    labels = stats.top_categories(df, CONTEXT_LABELS)
+    counts = count_all(df, whole_labels=False, duplicates=False, bool_as_numeric=True)
+    numbers = stats.context_stats(df, counted=counts.buckets())
+    pairs = stats.correlation(df, bool_as_numeric=True, centres=counts.centres())
+    labels = stats.top_categories(df, CONTEXT_LABELS, counted=counts.labels())
     sample = profiles.first_rows(df, SAMPLE_ROWS) if head is None else head
     types = F.array(
         *[
@@ -60,14 +62,14 @@ def build_context(df: DataFrame, head: DataFrame | None = None) -> DataFrame:
         ]
     )
     return df.sparkSession.range(1).select(
-        df.agg(F.count(F.lit(1)).alias("n")).scalar().alias("total_rows"),
+        counts.rows().select("total_rows").scalar().alias("total_rows"),
         F.lit(len(fields)).alias("total_columns"),
         F.array(*[F.lit(f.name) for f in fields]).alias("column_names"),
         types.alias("column_types"),
         _listed(numbers, ["position"], "column", "mean", "median", "min", "max", "std").alias(
             "numeric_statistics"
         ),
-        _listed(profiled, ["position"], "column", "missing", "missing_pct").alias("missing_values"),
+        _listed(counts.missing(), ["position"], "column", "missing", "missing_pct").alias("missing_values"),
         _listed(pairs, ["col_a", "col_b"], "col_a", "col_b", "corr").alias("correlation_matrix"),
         _listed(labels, ["column", "position"], "column", "label", "count").alias("top_categories"),
         _in_order(sample).alias("sample"),
