@@ -39,6 +39,9 @@ SEED = 23
 WORDS_KEPT = 350_000
 #: Words that are sampled at once.
 BATCH_WORDS = 200_000
+#: First bits of a hash by which most positions are known to begin no piece of a length.
+SEEN_BITS = 18
+IDS_AT_ONCE = 1 << 18
 BLANK = "▁"
 #: Log weight of a byte of a character that has no piece.
 BYTE_WEIGHT = -10.0
@@ -92,15 +95,20 @@ class Vocabulary:
             together[list(piece[:-1]), list(piece[1:])] = True
         together[:, 0x80:0xC0] = True  # bytes of one character
         self.apart = ~together.ravel()
+        self.lengths = np.array([len(x) for x in self.spelled], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.spelling = np.frombuffer(b"".join(self.spelled), np.uint8)
         self.byte_table = np.array([self.byte_ids[b] for b in range(256)])
 
-    def _hashed(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted hashes of pieces of one length, their ids and log weights."""
+    def _hashed(self, pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Sorted hashes of pieces of one length, their ids and log weights, and which hash beginnings there are."""
         codes = np.frombuffer(b"".join(pieces), np.uint8).reshape(len(pieces), -1)
         hashes = (BYTE_HASH[codes] * POWERS[: codes.shape[1]]).sum(1)
         order = np.argsort(hashes)
         ids, weights = np.array([self.ids[x] for x in pieces]), np.array([self.weights[x] for x in pieces])
-        return hashes[order], ids[order], weights[order]
+        seen = np.zeros(1 << SEEN_BITS, bool)
+        seen[hashes >> np.uint64(64 - SEEN_BITS)] = True
+        return hashes[order], ids[order], weights[order], seen
 
     def words(self, text: str) -> list[bytes]:
         """The text with a blank before it, cut where no piece reaches over."""
@@ -110,17 +118,24 @@ class Vocabulary:
         return [data[a:b] for a, b in itertools.pairwise([0, *cuts.tolist(), len(data)])]
 
     def decode(self, ids: Iterable[int]) -> str:
-        table = self.spelled
-        return b"".join([table[i] for i in ids])[1:].decode()
+        """Bytes of all pieces, gathered by their places, without the blank in front."""
+        ids, out = np.asarray(ids, np.int64), []
+        for first in range(0, len(ids), IDS_AT_ONCE):
+            some = ids[first : first + IDS_AT_ONCE]
+            lengths = self.lengths[some]
+            ends = np.cumsum(lengths)
+            shift = np.repeat(self.starts[some] - (ends - lengths), lengths)
+            out.append(self.spelling[shift + np.arange(len(shift))].tobytes())
+        return b"".join(out)[1:].decode()
 
 
 class PieceSampler:
     """Filtered lattices of words in flat arrays.
 
     A node is a position in a word behind its start; its edges are the pieces that end there, each
-    with the node where it starts (-1: the word's start). ``share`` holds the node's number in its
-    upper and the sum of probabilities up to the edge in its lower 32 bits, so one search over all
-    edges finds an edge for each draw, whatever else is in the table.
+    with the node where it starts (-1: the word's start). They stand together from ``first_edge`` on, and ``share`` is the
+    sum of probabilities up to the edge, the last one's the largest number, so a draw takes the first edge
+    whose share it does not exceed.
     """
 
     def __init__(self, path: str, alpha: float):
@@ -129,7 +144,8 @@ class PieceSampler:
 
     def _clear(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.share, self.start, self.piece = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.share, self.start, self.piece = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.first_edge = np.zeros(0, np.int32)
         self.nodes = 0
 
     def _edges(self, data: np.ndarray, left: np.ndarray, first: np.ndarray):
@@ -146,12 +162,14 @@ class PieceSampler:
         whole = np.zeros(len(heads), bool)  # characters that are pieces
         found = []
         at = heads
-        for length, (hashes, ids, weights) in v.by_length.items():
+        for length, (hashes, ids, weights, seen) in v.by_length.items():
             at = at[left[at] >= length]
             wanted = (sums[at + length] - sums[at]) * back[at]
+            likely = np.flatnonzero(seen[wanted >> np.uint64(64 - SEEN_BITS)])  # few others need no search
+            wanted = wanted[likely]
             near = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
             hit = hashes[near] == wanted
-            starts, near = at[hit], near[hit]
+            starts, near = at[likely[hit]], near[hit]
             found.append((starts, starts + length, ids[near], self.alpha * weights[near]))
             if length <= 4:
                 begun = np.zeros(len(data), bool)
@@ -200,7 +218,10 @@ class PieceSampler:
             chance[at] += chance[at - 1]
         upto = np.minimum((chance * 2.0**32).astype(np.uint64), np.uint64(LAST_SHARE))
         upto[heads + counts - 1] = LAST_SHARE
-        self.share = np.concatenate([self.share, (self.nodes + node).astype(np.uint64) << np.uint64(32) | upto])
+        begin = np.zeros(len(data), np.int32)
+        begin[node[heads]] = len(self.share) + heads
+        self.first_edge = np.concatenate([self.first_edge, begin])
+        self.share = np.concatenate([self.share, upto.astype(np.uint32)])
         self.start = np.concatenate([self.start, np.where(begins, -1, self.nodes + start - 1).astype(np.int32)])
         self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
         self.words.update(zip(words, (self.nodes + np.cumsum(sizes) - 1).tolist(), strict=True))
@@ -232,7 +253,7 @@ class PieceSampler:
         first = np.cumsum(counts) - counts
         place = (np.arange(len(last)) - np.repeat(first, counts)).astype(np.uint64)
         keys = mix(np.repeat(mix(seeds + np.uint64(1)), counts) + place * np.uint64(0x9E3779B97F4A7C15))
-        share, start, piece = self.share, self.start, self.piece
+        share, start, piece, first_edge = self.share, self.start, self.piece, self.first_edge
         node = np.array(last, np.int64)
         word = np.argsort(node, kind="stable")  # neighbours in the table are searched together
         node = node[word]
@@ -242,7 +263,12 @@ class PieceSampler:
         while len(node):
             step += 1
             draw = mix(keys[word] + np.uint64(step * 0xD6E8FEB86659FD93 & ALL)) >> np.uint64(32)
-            edge = np.searchsorted(share, node.astype(np.uint64) << np.uint64(32) | np.minimum(draw, LAST_SHARE), side="left")
+            edge = first_edge[node]
+            drawn = np.minimum(draw, np.uint64(LAST_SHARE)).astype(np.uint32)
+            beyond = np.flatnonzero(share[edge] < drawn)
+            while len(beyond):
+                edge[beyond] += 1
+                beyond = beyond[share[edge[beyond]] < drawn[beyond]]
             steps.append((word, piece[edge]))
             lengths[word] += 1
             node = start[edge]
@@ -278,7 +304,7 @@ def _encoder(path: str, alpha: float):
 def _decoder(path: str):
     def decode(rows: pa.Array) -> pa.Array:
         vocabulary = _sampler(path, ALPHA).vocabulary
-        texts = [vocabulary.decode(np.frombuffer(r.as_py(), "<u4").tolist()) if r.is_valid else None for r in rows]
+        texts = [vocabulary.decode(np.frombuffer(r.as_py(), "<u4")) if r.is_valid else None for r in rows]
         return pa.array(texts, pa.string())
 
     return F.arrow_udf(decode, T.StringType())
