@@ -129,6 +129,20 @@ class Vocabulary:
         return b"".join(out)[1:].decode()
 
 
+class Grown:
+    """An array that is added to; it doubles when it is full, so what is there is seldom moved."""
+
+    def __init__(self, kind: type):
+        self.held, self.size = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        size = self.size + len(values)
+        if size > len(self.held):
+            self.held = np.concatenate([self.held[: self.size], np.zeros(max(size, 2 * len(self.held)) - self.size, self.held.dtype)])
+        self.held[self.size : size] = values
+        self.size = size
+
+
 class PieceSampler:
     """Filtered lattices of words in flat arrays.
 
@@ -144,8 +158,8 @@ class PieceSampler:
 
     def _clear(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.share, self.start, self.piece = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.first_edge = np.zeros(0, np.int32)
+        self.share, self.start, self.piece = Grown(np.uint32), Grown(np.int32), Grown(np.int32)
+        self.first_edge = Grown(np.int32)
         self.nodes = 0
 
     def _edges(self, data: np.ndarray, left: np.ndarray, first: np.ndarray):
@@ -219,11 +233,11 @@ class PieceSampler:
         upto = np.minimum((chance * 2.0**32).astype(np.uint64), np.uint64(LAST_SHARE))
         upto[heads + counts - 1] = LAST_SHARE
         begin = np.zeros(len(data), np.int32)
-        begin[node[heads]] = len(self.share) + heads
-        self.first_edge = np.concatenate([self.first_edge, begin])
-        self.share = np.concatenate([self.share, upto.astype(np.uint32)])
-        self.start = np.concatenate([self.start, np.where(begins, -1, self.nodes + start - 1).astype(np.int32)])
-        self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
+        begin[node[heads]] = self.share.size + heads
+        self.first_edge.add(begin)
+        self.share.add(upto)
+        self.start.add(np.where(begins, -1, self.nodes + start - 1))
+        self.piece.add(piece)
         self.words.update(zip(words, (self.nodes + np.cumsum(sizes) - 1).tolist(), strict=True))
         self.nodes += len(data)
 
@@ -247,16 +261,14 @@ class PieceSampler:
         if new := set().union(*[parts for parts, _ in texts]).difference(self.words):
             self._learn(list(new))
         words = itertools.chain.from_iterable(parts for parts, _ in texts)
-        last = list(map(self.words.__getitem__, words))
         counts = np.array([len(parts) for parts, _ in texts])
+        last = np.fromiter(map(self.words.__getitem__, words), np.int32, int(counts.sum()))
         seeds = np.array([seed for _, seed in texts], np.int64).view(np.uint64)
         first = np.cumsum(counts) - counts
         place = (np.arange(len(last)) - np.repeat(first, counts)).astype(np.uint64)
         keys = mix(np.repeat(mix(seeds + np.uint64(1)), counts) + place * np.uint64(0x9E3779B97F4A7C15))
-        share, start, piece, first_edge = self.share, self.start, self.piece, self.first_edge
-        node = np.array(last, np.int64)
-        word = np.argsort(node, kind="stable")  # neighbours in the table are searched together
-        node = node[word]
+        share, start, piece, first_edge = (x.held for x in (self.share, self.start, self.piece, self.first_edge))
+        node, word = last, np.arange(len(last))
         lengths = np.zeros(len(last), np.int64)
         steps = []
         step = 0
