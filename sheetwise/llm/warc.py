@@ -16,12 +16,14 @@ Defined results:
 * null html is the empty payload. Null url: no target in the record.
 * equal payloads: the smallest page id is the response. Rows that repeat that id are responses,
   too. A null id is never the smallest unless all are null; then all are responses.
+* one payload at a time is held whole while it is written or read, so a very long page has to fit into a task.
 * an empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -246,5 +248,8 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> D
 
 
 def archive_folder(spark) -> str:
-    folder = scratch_path(spark, "warc")
-    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    """A new shared folder with its scheme, as Spark's own writers would complete it: a path without one is on the default
+    file system of the cluster."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "warc"))
+    qualified = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", qualified)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sheetwise.llm.queries import QUERIES
 from sheetwise.llm.secret_scan import base_spans
@@ -51,4 +52,25 @@ def test_run_is_the_stages(spark, results):
 
 def test_registered_operators():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_odd_tables_run_through(spark, tmp_path, empty):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [
+        (None, None, None, None, None), (1, "", "", "", 0), (2, None, "en", None, None), (2, "same text " * 30, "en", "src0", 1),
+        (2, "same text " * 30, "en", "src0", 1), (3, "word " * 120_000, None, "src1", 2),
+    ]
+    given = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([] if empty else rows, COLUMNS)
+    docs = odd if empty else odd.unionByName(given)
+    clash = {c: F.lit(1) for c in ("ids", "block", "kept", "measured", "sampled", "piece", "row")}
+    docs.withColumns(clash).write.parquet(f"{tmp_path}/documents.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert (packed.count() == 0) == empty
+    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(packed.columns)

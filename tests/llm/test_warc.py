@@ -9,6 +9,7 @@ import io
 
 import pytest
 
+from sheetwise.llm import warc
 from sheetwise.llm.warc import archive_folder, read_archives, read_records, record_bytes, write_archives
 
 LONG = "<p>" + "é" * 60 + "</p>"
@@ -64,3 +65,15 @@ def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     folder = archive_folder(spark)
     assert read_archives(write_archives(pages, folder), folder).count() == 0
+
+
+def test_folder_is_on_the_default_file_system(spark, monkeypatch):
+    monkeypatch.setattr(warc, "scratch_path", lambda spark, name: f"/checkpoints/a b/{name}")
+    assert archive_folder(spark) == "file:///checkpoints/a b/warc"
+    conf = spark._jsc.hadoopConfiguration()
+    old = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "hdfs://127.0.0.1:9000")
+    try:
+        assert archive_folder(spark) == "hdfs://127.0.0.1:9000/checkpoints/a b/warc"
+    finally:
+        conf.set("fs.defaultFS", old)
