@@ -22,7 +22,7 @@ Defined results:
 * very long texts are encoded and decoded whole, in parts of bounded size; a row must fit into a task.
 * repeated rows are encoded once each, alike; null ids are kept. An empty table gives an empty result.
 * decoding leaves out ids that the vocabulary does not have; bytes that are no UTF-8 become U+FFFD.
-* other columns are kept as they are (``with_ids``, ``with_text``), and not read by the query.
+* the operators are columns over a text or ids; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

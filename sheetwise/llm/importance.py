@@ -14,6 +14,7 @@ Counts are combined in each task; the models have a fixed number of buckets, wha
 
 Defined results:
 
+* very long texts: all n-grams of the text are counted, in one task.
 * null and empty text: no n-grams; judged by the calibration's intercept.
 * repeated rows have the same noise and are kept or dropped together, so ties at the k-th value may
   keep a few more than k.

@@ -24,6 +24,7 @@ Shingles are compared as 64-bit hashes of their words.
 Defined results:
 
 * null text, or no words: the set is empty and links with nothing.
+* very long texts: the set has the shingles of the whole text and is held by one task at a time.
 * fewer words than a shingle has: the whole sequence is the only shingle.
 * the representative of a component is its smallest id, the first of repeated rows; null ids come
   last, and a component of null ids only has a null id.

@@ -19,6 +19,9 @@ white space, so no token spans a blank. Words met before are looked up, not toke
 Defined results:
 
 * null and empty texts have only the end id: one piece of length 1.
+* very long texts are tokenised whole, in one task, and cut into pieces.
+* ties: pieces of equal length are interchangeable, so which of them takes a place may differ between runs; the
+  number of sequences does not.
 * repeated rows are packed once each; null ids are kept. An empty table gives an empty result.
 * other columns are not read, whatever their names.
 """

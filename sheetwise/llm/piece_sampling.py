@@ -18,6 +18,7 @@ the vocabulary's own spelling.
 Defined results:
 
 * null text: null ids, which decode to null. Empty text: the ids of one blank, decoding to empty.
+* very long texts are sampled and decoded whole, each in one task.
 * repeated rows (same key and text) have the same ids. An empty table gives an empty result.
 * other columns are not read, whatever their names.
 """

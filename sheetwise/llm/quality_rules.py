@@ -13,6 +13,7 @@ broadcast only if their measured size allows, else the join is sorted and split
 Defined results:
 
 * null text: all counts are 0, so the rule on short texts fails. The empty text is the same.
+* very long texts are counted whole, each in one task. A host whose rate is exactly ``reject`` is rejected.
 * null host: no host verdict, and the document does not count towards any host.
 * repeated rows are judged alike, each counts. An empty table gives an empty result.
 * other columns are kept as they are; the added column is ``measured`` (or what the caller names).

@@ -11,6 +11,7 @@ are nested, because two intervals of prefixes are nested or apart. The longest f
 Defined results:
 
 * null url, or no ``://``: host and path are empty; only rules for the empty host could fit.
+* very long urls are judged whole.
 * no rule fits: rule is null, verdict is ``default``.
 * two rules of equal length fit: the one with the longer host wins, then ``block``.
 * a rule listed twice counts once; if its verdicts differ, ``block`` wins. Rules with a null host
