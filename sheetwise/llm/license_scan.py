@@ -1,7 +1,8 @@
 """Licence notices in texts: a trained paragraph classifier, confirmed by template comparison.
 
-Lines are read in overlapping windows of words, so a notice inside a long line is seen whole. For a
-notice wrapped over lines, the ``AROUND`` words (and breaks) on both sides of every line break are a
+Each text is split once; its words, and pairs of neighbours, become numbers, and windows are slices of
+these. Lines are read in overlapping windows of words, so a notice inside a long line is seen whole. For a
+notice wrapped over lines, the ``AROUND`` words on both sides of every line break are a
 window too, up to the next line without a word: the longest template fits in whichever way it is
 broken. Windows become sparse vectors of hashed words and word pairs, and a multinomial
 logistic regression names the licence family or ``unknown``. It is trained on the templates below,
@@ -84,9 +85,9 @@ TEMPLATES = {
 FAMILIES = ["unknown", *sorted(TEMPLATES)]
 TRAIN_DOCS = 3000
 WINDOW, STEP = 40, 24
-#: Words and breaks on each side of a line break; the longest template has 29 words.
+#: Words on each side of a line break; the longest template has 29 words.
 AROUND = 34
-FEATURES_LOG = 13
+FEATURES_LOG = 16
 LEAST, OVERLAP = 0.1, 0.75
 #: Share of windows that bear a notice.
 NOTICES = 0.05
@@ -95,66 +96,97 @@ UNLIKE = 0.5
 TEMPERATURES = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+def number(word: Column) -> Column:
+    return F.xxhash64(word)
+
+
+def numbers(text: Column) -> Column:
+    """All words of a text and, as words of their own, its line breaks, numbered. One split per text."""
+    marked = F.split(F.lower(F.replace(text, F.lit("\n"), F.lit(" \n "))), "[^\\p{L}\\p{N}\n]+", -1)
+    return F.transform(F.filter(marked, lambda w: w != ""), number)
+
+
+def pairs(tokens: Column) -> Column:
+    """A number for each two neighbouring words."""
+    last = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, 1, last), F.slice(tokens, 2, last), lambda a, b: F.xxhash64(a, b))
 
 
 def grams(tokens: Column) -> Column:
-    """Words and pairs of neighbouring words, each once."""
-    return let(
-        tokens,
-        lambda t: F.array_distinct(
-            F.concat(t, F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.size(t)), lambda a, b: F.concat_ws(" ", a, b)))
-        ),
-    )
+    """Words and pairs of neighbouring words."""
+    return let(tokens, lambda t: F.concat(t, pairs(t)))
+
+
+def _views(words: Column, of_pairs: Column, ends: Column) -> Column:
+    """All windows of a text: its words, pairs of neighbours, and the words before the end of each line."""
+
+    def view(line: Column, first_word: Column, low: Column, high: Column, near: Column) -> Column:
+        return F.struct(
+            line.alias("paragraph"),
+            first_word.alias("first_word"),
+            F.slice(words, low + 1, high - low).alias("tokens"),
+            F.slice(of_pairs, low + 1, F.greatest(high - low - 1, F.lit(0))).alias("pairs"),
+            F.transform(F.filter(near, lambda x: (x > low) & (x < high)), lambda x: x - low).alias("breaks"),
+        )
+
+    def start(i: Column) -> Column:
+        return F.coalesce(F.get(ends, i - 1), F.lit(0))
+
+    def of_line(end: Column, i: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.greatest(end - start(i) - (WINDOW - STEP) - 1, F.lit(0)), F.lit(STEP))
+        cut = F.transform(firsts, lambda f: view(i, f, start(i) + f, F.least(end, start(i) + f + WINDOW), F.array().cast("array<int>")))
+        return F.when(end > start(i), cut)
+
+    def of_break(end: Column, i: Column) -> Column:
+        def around(near: Column) -> Column:
+            # a line without a word ends where the line before it does
+            blank = F.filter(near, lambda x, k: x == F.get(near, k + 1))
+            low = F.coalesce(F.array_max(F.filter(blank, lambda x: x < end)), F.lit(0))
+            high = F.coalesce(F.array_min(F.filter(blank, lambda x: x > end)), F.size(words))
+            low, high = F.greatest(low, end - AROUND), F.least(high, end + AROUND)
+            return view(i, F.greatest(low - start(i), F.lit(0)), low, high, near)
+
+        first = F.greatest(i - AROUND, F.lit(0))
+        return F.when((end > start(i)) & (F.get(ends, i + 1) > end), let(F.slice(ends, first + 1, i - first + AROUND + 1), around))
+
+    found = [F.filter(F.transform(ends, of), lambda v: v.isNotNull()) for of in (of_line, of_break)]
+    return F.concat(F.flatten(found[0]), found[1])
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """``doc_id, paragraph, first_word, tokens`` of the texts in ``docs(doc_id, text)``."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-    tokens = lines.select("doc_id", "paragraph", words(F.col("line")).alias("all")).filter(F.size("all") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - (WINDOW - STEP) - 1, F.lit(0)), F.lit(STEP))
-    cut = tokens.select("doc_id", "paragraph", "all", F.explode(starts).alias("first_word"))
-    return cut.select("doc_id", "paragraph", "first_word", F.slice("all", F.col("first_word") + 1, WINDOW).alias("tokens"))
-
-
-def break_windows(docs: DataFrame) -> DataFrame:
-    """As ``windows``, of the words around each line break, with ``lines``, their words line by line."""
-    marked = F.split(F.lower(F.replace(F.col("text"), F.lit("\n"), F.lit(" \n "))), "[^\\p{L}\\p{N}\n]+", -1)
-    marked = F.filter(marked, lambda w: w != "")
-
-    def around(m: Column, ends: Column) -> Column:
-        def view(end: Column, i: Column) -> Column:
-            first = F.greatest(end - AROUND, F.lit(0))
-            return F.struct(
-                F.greatest(first - F.coalesce(F.get(ends, i - 1) + 1, F.lit(0)), F.lit(0)).alias("first_word"),
-                F.slice(m, first + 1, end - first).alias("left"),
-                F.slice(m, end + 2, F.lit(AROUND)).alias("right"),
-            )
-
-        return F.transform(ends, view)
-
-    def ends(m: Column) -> Column:
-        return F.filter(F.transform(m, lambda w, i: F.when(w == "\n", i)), lambda i: i.isNotNull())
-
-    views = let(marked, lambda m: let(ends(m), lambda e: around(m, e)))
-    found = docs.select("doc_id", F.posexplode(views).alias("paragraph", "v")).select("doc_id", "paragraph", "v.*")
-    inside = found.filter((F.get("left", F.size("left") - 1) != "\n") & (F.get("right", F.lit(0)) != "\n"))
-    text = F.concat_ws(
-        " \n ",
-        F.substring_index(F.array_join("left", " "), "\n \n", -1),
-        F.substring_index(F.array_join("right", " "), "\n \n", 1),
-    )
-    lines = F.transform(F.split(text, "\n"), lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
-    cut = inside.select("doc_id", "paragraph", "first_word", lines.alias("lines"))
-    cut = cut.select("doc_id", "paragraph", "first_word", F.flatten("lines").alias("tokens"), "lines")
-    return cut.filter(F.size("tokens") > 0)
+    """``doc_id, paragraph, first_word, tokens, pairs, breaks`` of the texts in ``docs(doc_id, text)``.
+
+    Windows of lines, which have no ``breaks``, and windows around line breaks, with the places of
+    the breaks among their words.
+    """
+
+    line_break = number(F.lit("\n"))
+
+    def of_text(n: Column) -> Column:
+        words = F.filter(n, lambda x: x != line_break)
+        breaks = F.filter(F.transform(n, lambda x, i: F.when(x == line_break, i)), lambda i: i.isNotNull())
+        before = let(breaks, lambda b: F.transform(b, lambda at, i: at - i))
+        return let(words, lambda w: let(pairs(w), lambda p: let(F.concat(before, F.array(F.size(w))), lambda e: _views(w, p, e))))
+
+    return docs.select("doc_id", F.explode(let(numbers(F.col("text")), of_text)).alias("v")).select("doc_id", "v.*")
+
+
+def lines(tokens: Column, breaks: Column) -> Column:
+    """Words and pairs of each line of a window around a break, null for other windows."""
+
+    def of(bounds: Column) -> Column:
+        return F.transform(
+            F.slice(bounds, 2, F.size(bounds)),
+            lambda end, k: grams(F.slice(tokens, F.get(bounds, k) + 1, end - F.get(bounds, k))),
+        )
+
+    return F.when(F.size(breaks) > 0, let(F.concat(F.array(F.lit(0)), breaks, F.array(F.size(tokens))), of))
 
 
 def _notices() -> Column:
     """All templates as an array of (family number, tokens)."""
     rows = [(FAMILIES.index(f), t) for f, ts in sorted(TEMPLATES.items()) for t in ts]
-    return F.array(*[F.struct(F.lit(i).alias("label"), _literal(template_words(t)).alias("notice")) for i, t in rows])
+    return F.array(*[F.struct(F.lit(i).alias("label"), _literal(t).alias("notice")) for i, t in rows])
 
 
 def template_words(template: str) -> list[str]:
@@ -162,31 +194,42 @@ def template_words(template: str) -> list[str]:
     return re.findall("[a-z0-9]+", template.lower())
 
 
-def _literal(texts: list[str]) -> Column:
-    return F.array(*[F.lit(t) for t in texts])
+def _literal(template: str) -> Column:
+    """The numbers of a template's words."""
+    return F.array(*[number(F.lit(w)) for w in template_words(template)])
+
+
+def _literal_grams(template: str) -> Column:
+    """As ``grams`` of its words; a constant, so that it is not computed for every row."""
+    found = [number(F.lit(w)) for w in template_words(template)]
+    return F.array(*found, *[F.xxhash64(a, b) for a, b in itertools.pairwise(found)])
 
 
 def training_samples(docs: DataFrame, documents: int = TRAIN_DOCS) -> DataFrame:
     """``label, tokens, held``: lines of the corpus as unknown, and the templates among such lines."""
     share = min(1.0, documents / max(1, docs.count()))
-    chosen = docs.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    likeness = let(grams(F.col("tokens")), lambda g: F.greatest(*[_overlap(g, t) for ts in TEMPLATES.values() for t in ts]))
-    breaks = break_windows(chosen)
-    # a line of a wrapped notice is unlike every template, but no sample of the unknown class
-    wrapped = breaks.filter(likeness >= UNLIKE).select(F.col("doc_id").alias("of")).distinct()
-    cut = windows(chosen).unionByName(breaks.drop("lines")).filter(likeness < UNLIKE)
-    plain = cut.join(wrapped, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti").select("tokens")
-    some = plain.withColumn("h", F.xxhash64(F.array_join("tokens", " "))).orderBy("h").limit(3 * documents)
+    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    likeness = let(F.concat("tokens", "pairs"), lambda g: F.greatest(*[_overlap(g, t) for ts in TEMPLATES.values() for t in ts]))
+    # both kinds of windows are cut once; a line of a wrapped notice is unlike every template, but no
+    # sample of the unknown class
+    cut = stored(windows(chosen).withColumn("likeness", likeness).select("doc_id", "tokens", "likeness", (F.size("breaks") > 0).alias("wrapped")), "license_windows")
+    noticed = cut.filter((F.col("likeness") >= UNLIKE) & F.col("wrapped")).select(F.col("doc_id").alias("of")).distinct()
+    plain = cut.filter(F.col("likeness") < UNLIKE).join(noticed, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti").select("tokens")
+    some = plain.distinct().withColumn("h", F.xxhash64("tokens")).orderBy("h").limit(3 * documents)
     at = F.pmod("h", F.size(_notices())).cast("int")
-    noticed = some.withColumn("n", F.get(_notices(), at)).withColumn("form", F.pmod(F.shiftright("h", 8), F.lit(6)))
+    noticed = some.withColumn("n", F.get(_notices(), at)).withColumn("form", F.pmod(F.shiftright("h", 8), F.lit(8)))
     size = F.size("n.notice")
     room = F.greatest(F.greatest(F.lit(WINDOW), F.size("tokens")) - size, F.lit(0))
     before = F.pmod(F.shiftright("h", 24), room + 1).cast("int")
-    # whole, without the first or last words, behind other words, before them, among them
+    headless, tailless = F.slice("n.notice", 2, size), F.slice("n.notice", 1, F.greatest(size - 2, F.lit(3)))
+    # whole, without the first or last words, alone or cut by the edge of the window, behind other
+    # words, before them, among them
     forms = [
         F.col("n.notice"),
-        F.slice("n.notice", 2, size),
-        F.slice("n.notice", 1, F.greatest(size - 2, F.lit(3))),
+        headless,
+        tailless,
+        F.concat(headless, F.slice("tokens", 1, room)),
+        F.concat(F.slice("tokens", 1, room), tailless),
         F.concat(F.slice("tokens", 1, room), "n.notice"),
         F.concat(F.col("n.notice"), F.slice("tokens", 1, room)),
         F.concat(F.slice("tokens", 1, before), F.col("n.notice"), F.slice("tokens", before + 1, room - before)),
@@ -226,14 +269,14 @@ class LicenseModel:
 
 def _vectors(frame: DataFrame) -> DataFrame:
     hashing = HashingTF(numFeatures=1 << FEATURES_LOG, binary=True, inputCol="grams", outputCol="features")
-    return hashing.transform(frame.withColumn("grams", grams(F.col("tokens"))))
+    return hashing.transform(frame.withColumn("grams", F.concat("tokens", "pairs") if "pairs" in frame.columns else grams(F.col("tokens"))))
 
 
 def train(docs: DataFrame) -> LicenseModel:
     """Fit on three quarters of the samples, calibrate on the rest."""
     samples = stored(training_samples(docs), "license_samples")
     fit = _vectors(samples.filter("not held")).select("label", "features")
-    regression = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=40).fit(fit)
+    regression = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=60).fit(fit)
     held = regression.transform(_vectors(samples.filter("held"))).select(
         F.col("label").cast("int").alias("label"), vector_to_array("rawPrediction").alias("raw")
     )
@@ -248,16 +291,15 @@ def train(docs: DataFrame) -> LicenseModel:
     return LicenseModel(regression, min(measured)[1] if measured else 1.0)
 
 
-def _wanted(template: str) -> list[str]:
-    """The words and word pairs of a template, each once."""
+def _wanted(template: str) -> int:
+    """How many different words and word pairs a template has."""
     found = template_words(template)
-    return list(dict.fromkeys([*found, *[f"{a} {b}" for a, b in itertools.pairwise(found)]]))
+    return len({*found, *itertools.pairwise(found)})
 
 
-def _overlap(tokens: Column, template: str) -> Column:
+def _overlap(of: Column, template: str) -> Column:
     """Share of the template's words and word pairs that the window has."""
-    wanted = _wanted(template)
-    return F.size(F.array_intersect(tokens, _literal(wanted))) / len(wanted)
+    return F.size(F.array_intersect(of, _literal_grams(template))) / _wanted(template)
 
 
 def template_overlap(tokens: Column, family: Column) -> Column:
@@ -271,27 +313,26 @@ def template_overlap(tokens: Column, family: Column) -> Column:
 
 def template_grams(family: Column) -> Column:
     """Words and word pairs of all templates of a family."""
-    per_family = [(f, _literal([w for t in ts for w in _wanted(t)])) for f, ts in sorted(TEMPLATES.items())]
-    return reduce(lambda rest, x: F.when(family == x[0], x[1]).otherwise(rest), per_family, _literal([]).cast("array<string>"))
+    per_family = [(f, F.array_distinct(F.concat(*[_literal_grams(t) for t in ts]))) for f, ts in sorted(TEMPLATES.items())]
+    return reduce(lambda rest, x: F.when(family == x[0], x[1]).otherwise(rest), per_family, F.array().cast("array<bigint>"))
 
 
 def license_notices(docs: DataFrame, model: LicenseModel | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, paragraph, first_word, family, probability, overlap, confirmed`` of all notices found."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     model = model or train(texts)
-    # line windows have no lines of their own
-    cut = windows(texts).withColumn("lines", F.array().cast("array<array<string>>")).unionByName(break_windows(texts))
+    cut = windows(texts)
     names = F.array(*[F.lit(f) for f in FAMILIES])
     likely = F.filter(
         F.transform("p", lambda p, i: F.struct(p.alias("probability"), F.get(names, i).alias("family"))),
         lambda x: (x["probability"] >= LEAST) & (x["family"] != FAMILIES[0]),
     )
-    judged = model.probabilities(cut).select("doc_id", "paragraph", "first_word", "tokens", "lines", likely.alias("likely"))
+    judged = model.probabilities(cut).select("doc_id", "paragraph", "first_word", "tokens", "pairs", "breaks", likely.alias("likely"))
     first = F.element_at(F.sort_array("likely", asc=False), 1)["family"]
-    found = judged.filter(F.size("likely") > 0).withColumn("g", grams(F.col("tokens"))).withColumn("first", first)
+    found = judged.filter(F.size("likely") > 0).withColumn("g", F.concat("tokens", "pairs")).withColumn("first", first)
     each = found.withColumn("one", F.explode("likely")).select("*", "one.*")
-    whole = F.exists("lines", lambda x: template_overlap(grams(x), F.col("family")) >= OVERLAP)
-    measured = each.filter(~whole).withColumn("overlap", template_overlap(F.col("g"), F.col("family")))
+    whole = F.exists(lines(F.col("tokens"), F.col("breaks")), lambda x: template_overlap(x, F.col("family")) >= OVERLAP)
+    measured = each.filter(~F.coalesce(whole, F.lit(False))).withColumn("overlap", template_overlap(F.col("g"), F.col("family")))
     own = F.size(F.array_except(F.array_intersect("g", template_grams(F.col("family"))), template_grams(F.col("first")))) > 0
     confirmed = (F.col("overlap") >= OVERLAP) & ((F.col("family") == F.col("first")) | own)
     return measured.select("doc_id", "paragraph", "first_word", "family", "probability", "overlap", confirmed.alias("confirmed"))
