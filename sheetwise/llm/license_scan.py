@@ -117,8 +117,9 @@ def grams(tokens: Column) -> Column:
     return let(tokens, lambda t: F.concat(t, pairs(t)))
 
 
-def _views(words: Column, of_pairs: Column, ends: Column) -> Column:
-    """All windows of a text: its words, pairs of neighbours, and the words before the end of each line."""
+def _views(words: Column, of_pairs: Column, ends: Column, blanks: Column) -> Column:
+    """All windows of a text: its words, pairs of neighbours, the words before the end of each line, and
+    whether some line has no word."""
 
     def view(line: Column, first_word: Column, low: Column, high: Column, near: Column) -> Column:
         return F.struct(
@@ -126,7 +127,8 @@ def _views(words: Column, of_pairs: Column, ends: Column) -> Column:
             first_word.alias("first_word"),
             F.slice(words, low + 1, high - low).alias("tokens"),
             F.slice(of_pairs, low + 1, F.greatest(high - low - 1, F.lit(0))).alias("pairs"),
-            F.transform(F.filter(near, lambda x: (x > low) & (x < high)), lambda x: x - low).alias("breaks"),
+            low.alias("low"),
+            near.alias("near"),
         )
 
     def start(i: Column) -> Column:
@@ -141,9 +143,10 @@ def _views(words: Column, of_pairs: Column, ends: Column) -> Column:
         def around(near: Column) -> Column:
             # a line without a word ends where the line before it does
             blank = F.filter(near, lambda x, k: x == F.get(near, k + 1))
-            low = F.coalesce(F.array_max(F.filter(blank, lambda x: x < end)), F.lit(0))
-            high = F.coalesce(F.array_min(F.filter(blank, lambda x: x > end)), F.size(words))
-            low, high = F.greatest(low, end - AROUND), F.least(high, end + AROUND)
+            before = F.when(blanks, F.array_max(F.filter(blank, lambda x: x < end)))
+            behind = F.when(blanks, F.array_min(F.filter(blank, lambda x: x > end)))
+            low = F.greatest(F.coalesce(before, F.lit(0)), end - AROUND)
+            high = F.least(F.coalesce(behind, F.size(words)), end + AROUND)
             return view(i, F.greatest(low - start(i), F.lit(0)), low, high, near)
 
         first = F.greatest(i - AROUND, F.lit(0))
@@ -154,10 +157,10 @@ def _views(words: Column, of_pairs: Column, ends: Column) -> Column:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """``doc_id, paragraph, first_word, tokens, pairs, breaks`` of the texts in ``docs(doc_id, text)``.
+    """``doc_id, paragraph, first_word, tokens, pairs, low, near`` of the texts in ``docs(doc_id, text)``.
 
-    Windows of lines, which have no ``breaks``, and windows around line breaks, with the places of
-    the breaks among their words.
+    Windows of lines, whose ``near`` is empty, and windows around line breaks, with the words of the
+    text before them and before the breaks near them.
     """
 
     line_break = number(F.lit("\n"))
@@ -166,12 +169,17 @@ def windows(docs: DataFrame) -> DataFrame:
         words = F.filter(n, lambda x: x != line_break)
         breaks = F.filter(F.transform(n, lambda x, i: F.when(x == line_break, i)), lambda i: i.isNotNull())
         before = let(breaks, lambda b: F.transform(b, lambda at, i: at - i))
-        return let(words, lambda w: let(pairs(w), lambda p: let(F.concat(before, F.array(F.size(w))), lambda e: _views(w, p, e))))
+
+        def of_ends(w: Column, e: Column) -> Column:
+            blank = F.size(F.filter(e, lambda x, k: x == F.get(e, k - 1))) > 0
+            return let(pairs(w), lambda p: let(blank, lambda b: _views(w, p, e, b)))
+
+        return let(words, lambda w: let(F.concat(before, F.array(F.size(w))), lambda e: of_ends(w, e)))
 
     return docs.select("doc_id", F.explode(let(numbers(F.col("text")), of_text)).alias("v")).select("doc_id", "v.*")
 
 
-def lines(tokens: Column, breaks: Column) -> Column:
+def lines(tokens: Column, low: Column, near: Column) -> Column:
     """Words and pairs of each line of a window around a break, null for other windows."""
 
     def of(bounds: Column) -> Column:
@@ -180,7 +188,9 @@ def lines(tokens: Column, breaks: Column) -> Column:
             lambda end, k: grams(F.slice(tokens, F.get(bounds, k) + 1, end - F.get(bounds, k))),
         )
 
-    return F.when(F.size(breaks) > 0, let(F.concat(F.array(F.lit(0)), breaks, F.array(F.size(tokens))), of))
+    inside = F.filter(near, lambda x: (x > low) & (x < low + F.size(tokens)))
+    breaks = F.transform(inside, lambda x: x - low)
+    return F.when(F.size(near) > 0, let(F.concat(F.array(F.lit(0)), breaks, F.array(F.size(tokens))), of))
 
 
 def _notices() -> Column:
@@ -212,7 +222,7 @@ def training_samples(docs: DataFrame, documents: int = TRAIN_DOCS) -> DataFrame:
     likeness = let(F.concat("tokens", "pairs"), lambda g: F.greatest(*[_overlap(g, t) for ts in TEMPLATES.values() for t in ts]))
     # both kinds of windows are cut once; a line of a wrapped notice is unlike every template, but no
     # sample of the unknown class
-    cut = stored(windows(chosen).withColumn("likeness", likeness).select("doc_id", "tokens", "likeness", (F.size("breaks") > 0).alias("wrapped")), "license_windows")
+    cut = stored(windows(chosen).withColumn("likeness", likeness).select("doc_id", "tokens", "likeness", (F.size("near") > 0).alias("wrapped")), "license_windows")
     noticed = cut.filter((F.col("likeness") >= UNLIKE) & F.col("wrapped")).select(F.col("doc_id").alias("of")).distinct()
     plain = cut.filter(F.col("likeness") < UNLIKE).join(noticed, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti").select("tokens")
     some = plain.distinct().withColumn("h", F.xxhash64("tokens")).orderBy("h").limit(3 * documents)
@@ -327,11 +337,12 @@ def license_notices(docs: DataFrame, model: LicenseModel | None = None, doc_id:
         F.transform("p", lambda p, i: F.struct(p.alias("probability"), F.get(names, i).alias("family"))),
         lambda x: (x["probability"] >= LEAST) & (x["family"] != FAMILIES[0]),
     )
-    judged = model.probabilities(cut).select("doc_id", "paragraph", "first_word", "tokens", "pairs", "breaks", likely.alias("likely"))
+    judged = model.probabilities(cut).select("doc_id", "paragraph", "first_word", "tokens", "pairs", "low", "near", likely.alias("likely"))
     first = F.element_at(F.sort_array("likely", asc=False), 1)["family"]
-    found = judged.filter(F.size("likely") > 0).withColumn("g", F.concat("tokens", "pairs")).withColumn("first", first)
-    each = found.withColumn("one", F.explode("likely")).select("*", "one.*")
-    whole = F.exists(lines(F.col("tokens"), F.col("breaks")), lambda x: template_overlap(x, F.col("family")) >= OVERLAP)
+    # a plain explode, or a filter on the array, would have the regression evaluated once more for the filter
+    found = judged.withColumn("one", F.explode_outer("likely")).filter(F.col("one").isNotNull())
+    each = found.select("*", "one.*").withColumn("g", F.concat("tokens", "pairs")).withColumn("first", first)
+    whole = F.exists(lines(F.col("tokens"), F.col("low"), F.col("near")), lambda x: template_overlap(x, F.col("family")) >= OVERLAP)
     measured = each.filter(~F.coalesce(whole, F.lit(False))).withColumn("overlap", template_overlap(F.col("g"), F.col("family")))
     own = F.size(F.array_except(F.array_intersect("g", template_grams(F.col("family"))), template_grams(F.col("first")))) > 0
     confirmed = (F.col("overlap") >= OVERLAP) & ((F.col("family") == F.col("first")) | own)
