@@ -27,9 +27,11 @@ Defined results:
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import re
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -93,6 +95,8 @@ LEAST, OVERLAP = 0.1, 0.75
 NOTICES = 0.05
 #: Windows of the corpus with less of every template are samples of the unknown class.
 UNLIKE = 0.5
+#: Tasks that the samples, bounded by ``TRAIN_DOCS``, are fitted in.
+FIT_TASKS = 1
 TEMPERATURES = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
 
 
@@ -196,7 +200,7 @@ def lines(tokens: Column, low: Column, near: Column) -> Column:
 def _notices() -> Column:
     """All templates as an array of (family number, tokens)."""
     rows = [(FAMILIES.index(f), t) for f, ts in sorted(TEMPLATES.items()) for t in ts]
-    return F.array(*[F.struct(F.lit(i).alias("label"), _literal(t).alias("notice")) for i, t in rows])
+    return F.expr(f"array({', '.join(f"named_struct('label', {i}, 'notice', {_constant(_hashed()[t][0])})" for i, t in rows)})")
 
 
 def template_words(template: str) -> list[str]:
@@ -204,15 +208,18 @@ def template_words(template: str) -> list[str]:
     return re.findall("[a-z0-9]+", template.lower())
 
 
-def _literal(template: str) -> Column:
-    """The numbers of a template's words."""
-    return F.array(*[number(F.lit(w)) for w in template_words(template)])
+@functools.cache
+def _hashed() -> dict[str, tuple[list[int], list[int]]]:
+    """The numbers of each template's words, and its ``grams``. Hashed once, so that plans have constants."""
+    templates = [t for ts in TEMPLATES.values() for t in ts]
+    words = [F.transform(F.split(F.lit(" ".join(template_words(t))), " "), number) for t in templates]
+    row = SparkSession.active().range(1).select(*[let(w, lambda t: F.struct(t, grams(t))) for w in words]).first()
+    return {t: tuple(found) for t, found in zip(templates, row, strict=True)}
 
 
-def _literal_grams(template: str) -> Column:
-    """As ``grams`` of its words; a constant, so that it is not computed for every row."""
-    found = [number(F.lit(w)) for w in template_words(template)]
-    return F.array(*found, *[F.xxhash64(a, b) for a, b in itertools.pairwise(found)])
+def _constant(values: Iterable[int]) -> str:
+    """SQL of an array of numbers."""
+    return f"array({', '.join(f'{n}L' for n in values)})"
 
 
 def training_samples(docs: DataFrame, documents: int = TRAIN_DOCS) -> DataFrame:
@@ -226,8 +233,9 @@ def training_samples(docs: DataFrame, documents: int = TRAIN_DOCS) -> DataFrame:
     noticed = cut.filter((F.col("likeness") >= UNLIKE) & F.col("wrapped")).select(F.col("doc_id").alias("of")).distinct()
     plain = cut.filter(F.col("likeness") < UNLIKE).join(noticed, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti").select("tokens")
     some = plain.distinct().withColumn("h", F.xxhash64("tokens")).orderBy("h").limit(3 * documents)
-    at = F.pmod("h", F.size(_notices())).cast("int")
-    noticed = some.withColumn("n", F.get(_notices(), at)).withColumn("form", F.pmod(F.shiftright("h", 8), F.lit(8)))
+    templates, many = _notices(), F.lit(sum(map(len, TEMPLATES.values())))
+    at = F.pmod("h", many).cast("int")
+    noticed = some.withColumn("n", F.get(templates, at)).withColumn("form", F.pmod(F.shiftright("h", 8), F.lit(8)))
     size = F.size("n.notice")
     room = F.greatest(F.greatest(F.lit(WINDOW), F.size("tokens")) - size, F.lit(0))
     before = F.pmod(F.shiftright("h", 24), room + 1).cast("int")
@@ -248,13 +256,13 @@ def training_samples(docs: DataFrame, documents: int = TRAIN_DOCS) -> DataFrame:
     held = (F.pmod(F.shiftright("h", 16), F.lit(4)) == 0).alias("held")
     known = noticed.select(F.col("n.label").cast("double").alias("label"), chosen_form.alias("tokens"), held)
     # two families in one window, once under each
-    other = F.get(_notices(), F.pmod(F.xxhash64("h"), F.size(_notices())).cast("int"))
+    other = F.get(templates, F.pmod(F.xxhash64("h"), many).cast("int"))
     twos = noticed.filter(F.pmod(F.shiftright("h", 12), F.lit(4)) == 0).withColumn("o", other).filter("n.label <> o.label")
     both = F.concat("n.notice", F.slice("tokens", 1, F.pmod(F.shiftright("h", 32), F.lit(8)).cast("int")), "o.notice")
     for label in ("n.label", "o.label"):
         known = known.unionByName(twos.select(F.col(label).cast("double").alias("label"), both.alias("tokens"), held))
     return known.unionByName(some.select(F.lit(0.0).alias("label"), "tokens", held)).unionByName(
-        known.sparkSession.range(1).select(F.explode(_notices()).alias("n")).select(
+        known.sparkSession.range(1).select(F.explode(templates).alias("n")).select(
             F.col("n.label").cast("double").alias("label"), F.col("n.notice").alias("tokens"), F.lit(False).alias("held")
         )
     )
@@ -285,7 +293,7 @@ def _vectors(frame: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> LicenseModel:
     """Fit on three quarters of the samples, calibrate on the rest."""
     samples = stored(training_samples(docs), "license_samples")
-    fit = _vectors(samples.filter("not held")).select("label", "features")
+    fit = _vectors(samples.filter("not held")).select("label", "features").coalesce(FIT_TASKS)
     regression = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=60).fit(fit)
     held = regression.transform(_vectors(samples.filter("held"))).select(
         F.col("label").cast("int").alias("label"), vector_to_array("rawPrediction").alias("raw")
@@ -309,7 +317,7 @@ def _wanted(template: str) -> int:
 
 def _overlap(of: Column, template: str) -> Column:
     """Share of the template's words and word pairs that the window has."""
-    return F.size(F.array_intersect(of, _literal_grams(template))) / _wanted(template)
+    return F.size(F.array_intersect(of, F.expr(_constant(_hashed()[template][1])))) / _wanted(template)
 
 
 def template_overlap(tokens: Column, family: Column) -> Column:
@@ -323,8 +331,8 @@ def template_overlap(tokens: Column, family: Column) -> Column:
 
 def template_grams(family: Column) -> Column:
     """Words and word pairs of all templates of a family."""
-    per_family = [(f, F.array_distinct(F.concat(*[_literal_grams(t) for t in ts]))) for f, ts in sorted(TEMPLATES.items())]
-    return reduce(lambda rest, x: F.when(family == x[0], x[1]).otherwise(rest), per_family, F.array().cast("array<bigint>"))
+    per_family = [(f, dict.fromkeys(g for t in ts for g in _hashed()[t][1])) for f, ts in sorted(TEMPLATES.items())]
+    return reduce(lambda rest, x: F.when(family == x[0], F.expr(_constant(x[1]))).otherwise(rest), per_family, F.array().cast("array<bigint>"))
 
 
 def license_notices(docs: DataFrame, model: LicenseModel | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheetwise.catalog.registry import table
-from sheetwise.llm.license_scan import TEMPLATES, license_notices, train, windows
+from sheetwise.llm.license_scan import TEMPLATES, license_notices, template_grams, template_overlap, train, windows
 from tests.conftest import SF
 
 NOTICES = {
@@ -100,3 +101,14 @@ def test_two_licences_of_one_window(spark, found):
     notices = license_notices(spark.createDataFrame(rows, "doc_id long, text string, families array<string>"), found[1]).collect()
     confirmed = {(r["doc_id"], r["family"]) for r in notices if r["confirmed"]}
     assert confirmed == {(i, f) for i, _, fs in rows for f in fs}
+
+
+def test_templates_are_constants_of_the_plan(spark):
+    rows = [(f, t) for f, ts in TEMPLATES.items() for t in ts]
+    cut = windows(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"))
+    family = F.get(F.array(*[F.lit(f) for f, _ in rows]), F.col("doc_id").cast("int"))
+    g = F.concat("tokens", "pairs")
+    of_family = (template_overlap(g, family), template_grams(family))
+    assert "xxhash64" not in f"{of_family}"
+    measured = cut.select(of_family[0].alias("overlap"), F.size(F.array_except(g, of_family[1])).alias("others")).collect()
+    assert [(r["overlap"], r["others"]) for r in measured] == [(1.0, 0)] * len(rows)
